@@ -312,3 +312,19 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     per_set = per_set.join(least, "root").select("hi", "lo", "n", "class_id", "n_links")
     alone = all_docs.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return known.join(per_set, ["hi", "lo", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """docs, in their own columns, with one document of each class: the one with the least doc_id.
+
+    Documents without words, or without doc_id, are all kept; of rows that repeat a kept doc_id one stays.
+    """
+    classes = join(docs, **options)
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    twice = classes.where("doc_id = class_id and n_links > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    repeated = written(twice, "repeated")
+    if not repeated.head(1):
+        return kept
+    single = kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(single)
