@@ -57,9 +57,16 @@ class Scoring:
     threshold_bounds: tuple[float, float] = (0.1, 1.5)
 
 
+#: Fitted on the generated log with its true labels: numeric features scaled by feature.
+CALIBRATED = Clustering(merge=0.85, split=0.82)
+
+
 @dataclass(frozen=True)
 class Params:
-    """mode: intended, or literal for the behaviour in which every micro-cluster is forgotten at once."""
+    """mode: intended, or literal, in which every micro-cluster is forgotten at once.
+
+    vector_features: all, or numeric for the log's numeric columns alone; scaling: within_vector or per_feature.
+    """
 
     mode: str = "intended"
     vector_features: str = "all"

@@ -13,14 +13,14 @@ def total(v: Column) -> Column:
 def minmax(v: str) -> Column:
     """A vector scaled to its own range; zeros if it has none, empty if empty."""
     low, high = F.array_min(v), F.array_max(v)
-    return F.when(high > low, F.expr(f"transform({v}, x -> (x - array_min({v})) / (array_max({v}) - array_min({v})))")).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+    return F.when(high > low, F.expr(f"transform({v}, __x -> (__x - array_min({v})) / (array_max({v}) - array_min({v})))")).otherwise(F.transform(v, lambda x: F.lit(0.0)))
 
 
 def zscore(v: str) -> Column:
     """A vector less its mean, by its population deviation; zeros if that is 0."""
-    mean = f"(aggregate({v}, 0D, (s, x) -> s + x) / size({v}))"
-    sd = f"sqrt(aggregate({v}, 0D, (s, x) -> s + (x - {mean}) * (x - {mean})) / size({v}))"
-    return F.expr(f"if({sd} > 0, transform({v}, x -> (x - {mean}) / {sd}), transform({v}, x -> 0D))")
+    mean = f"(aggregate({v}, 0D, (__s, __x) -> __s + __x) / size({v}))"
+    sd = f"sqrt(aggregate({v}, 0D, (__s, __x) -> __s + (__x - {mean}) * (__x - {mean})) / size({v}))"
+    return F.expr(f"if({sd} > 0, transform({v}, __x -> (__x - {mean}) / {sd}), transform({v}, __x -> 0D))")
 
 
 def distance(a: Column | str, b: Column | str) -> Column:
@@ -41,8 +41,8 @@ def linspace(low: float, high: float, n: int) -> Column:
 
 def kernel_sum(a: str, b: str, alpha: float) -> Column:
     """Sum over all pairs of slots of max(1 - (a_i - b_j)^2, 0), pairs off the diagonal weighted by alpha; null for unequal lengths."""
-    inner = f"aggregate({b}, named_struct('j', 0, 's', 0D), (t, y) -> named_struct('j', t.j + 1, 's', t.s + greatest(1 - (r.x - y) * (r.x - y), 0D) * if(r.i = t.j, 1D, {alpha}D)), t -> t.s)"
-    return F.expr(f"if(size({a}) = size({b}), aggregate(transform({a}, (x, i) -> named_struct('x', x, 'i', i)), 0D, (s, r) -> s + {inner}), null)")
+    inner = f"aggregate({b}, named_struct('j', 0, 's', 0D), (__t, __y) -> named_struct('j', __t.j + 1, 's', __t.s + greatest(1 - (__r.x - __y) * (__r.x - __y), 0D) * if(__r.i = __t.j, 1D, {alpha}D)), __t -> __t.s)"
+    return F.expr(f"if(size({a}) = size({b}), aggregate(transform({a}, (__x, __i) -> named_struct('x', __x, 'i', __i)), 0D, (__s, __r) -> __s + {inner}), null)")
 
 
 def similarity(a: str, b: str, alpha: float, normaliser: str = "reference") -> Column:

@@ -122,7 +122,7 @@ ORACLE: dict[str, str] = {
         g AS (SELECT g, lo + g * (hi - lo) / 99 AS x, n, h FROM s, range(0, 100) r(g)),
         d AS (SELECT g, x, sum(exp(-power((x - ProcessingTime) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM g, log GROUP BY g, x),
         p AS (SELECT *, lag(density) OVER (ORDER BY g) AS b, lead(density) OVER (ORDER BY g) AS a FROM d) SELECT g, round(x, 6) AS x, round(density, 9) AS density FROM p WHERE density > b AND density > a""",
-    "sliding_window_stats": f"""WITH {_LOG} SELECT EventID, count(*) OVER w AS n, round(avg(ProcessingTime) OVER w, 4) AS mean, round(stddev_pop(ProcessingTime) OVER w, 4) AS sd FROM log
+    "sliding_window_stats": f"""WITH {_LOG} SELECT EventID, count(*) OVER w AS n, round(sum(ProcessingTime) OVER w, 2) AS total, round(stddev_pop(ProcessingTime) OVER w, 5) AS sd FROM log
         WINDOW w AS (PARTITION BY Activity ORDER BY Timestamp, EventID ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
     "event_deviation": f"""WITH {_LOG}, h AS (SELECT EventID, ProcessingTime AS v, avg(ProcessingTime) OVER w AS m, stddev_pop(ProcessingTime) OVER w AS sd FROM log
             WINDOW w AS (PARTITION BY Activity ORDER BY Timestamp, EventID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

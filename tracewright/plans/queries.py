@@ -332,7 +332,7 @@ def adaptive_bins(spark, d):
 @query
 def sliding_window_stats(spark, d):
     w = Window.partitionBy("Activity").orderBy("Timestamp", "EventID").rowsBetween(-999, 0)
-    return _log(spark, d).select("EventID", F.count("*").over(w).alias("n"), _r(F.avg("ProcessingTime").over(w), 4).alias("mean"), _r(F.stddev_pop("ProcessingTime").over(w), 4).alias("sd"))
+    return _log(spark, d).select("EventID", F.count("*").over(w).alias("n"), _r(F.sum("ProcessingTime").over(w), 2).alias("total"), _r(F.stddev_pop("ProcessingTime").over(w), 5).alias("sd"))
 
 
 @query

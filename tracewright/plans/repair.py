@@ -23,7 +23,7 @@ def vector_columns(log: DataFrame, s: LogSchema = LOG) -> list[str]:
 def with_vector(log: DataFrame, params: Params = Params(), s: LogSchema = LOG) -> DataFrame:
     """log with vector: numbers as they are, categories by a hash in [0, 1) that never changes, scaled within the vector or by feature."""
     kinds = feature_types(log)
-    columns = vector_columns(log, s)
+    columns = list(s.numeric) if params.vector_features == "numeric" else vector_columns(log, s)
     # numbers of unlike units share a vector: a category's code takes the scale of a unit interval
     slots = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if kinds[c] == "numeric" else F.pmod(F.xxhash64(c), F.lit(997)) / 997 for c in columns}
     if params.scaling == "per_feature":
