@@ -3,9 +3,10 @@
 Documents begin in shards drawn from their ids.  Copies of a text are linked;
 the state of the propagation is how many copies of each text each shard holds,
 at most one row for each text and shard.  In every round the shards of a text
-pair up, the one with the fewest copies with the one with the most, and copies
-move to the larger side as far as that shard's quota has room: each shard says
-how much it can take of what is offered, and offers are met in that proportion.
+pair up, the one with the fewest copies with the one with the most whose quota
+has room, and copies move to the larger side as far as there is room: each shard
+says how much it can take of what is offered, and offers are met in that
+proportion.
 Rounds end when nothing moves.  Copies are then dealt to their shards by rank,
 and texts that occur once fill every shard to its quota, so that counts differ
 by one at most (law rows).
@@ -47,10 +48,13 @@ def _propagated(state: DataFrame, capacity: int, rounds: int) -> DataFrame:
     for turn in range(rounds):
         load = {r[0]: r[1] for r in state.groupBy("shard").agg(F.sum("n")).collect()}  # a row for each shard at most
         of_text = Window.partitionBy("g1", "g2")
-        rows = state.withColumns({"k": F.count("*").over(of_text), "r": F.row_number().over(of_text.orderBy(F.desc("n"), F.xxhash64("g1", "shard")))})
-        to = F.element_at("by_rank", (F.col("k") + 1 - F.col("r")).cast("int"))
-        rows = rows.withColumn("by_rank", F.transform(F.array_sort(F.collect_list(F.struct("r", "shard")).over(of_text)), lambda x: x["shard"]))
-        rows = rows.withColumn("to", F.when(2 * F.col("r") > F.col("k") + 1, to))
+        room = [s for s, n in load.items() if n < capacity]
+        rank = F.struct(-F.col("n"), F.xxhash64("g1", "shard"), "shard", "n")
+        largest = F.array_sort(F.collect_list(F.when(F.col("shard").isin(room), rank.alias("x"))).over(of_text))  # a text's shards: a few
+        rows = state.withColumns({"largest": largest, "r": F.row_number().over(of_text.orderBy("n", F.desc(F.xxhash64("g1", "shard"))))})
+        rows = rows.withColumn("target", F.get("largest", F.col("r") - 1))
+        smaller = (F.col("n") < F.col("target")["n"]) | ((F.col("n") == F.col("target")["n"]) & (F.xxhash64("g1", "shard") > F.xxhash64("g1", F.col("target")["shard"])))
+        rows = rows.withColumn("to", F.when(smaller, F.col("target")["shard"]))
         offered = written(rows.select("g1", "g2", "shard", "n", "to"), f"offers-{turn}")
         want = {r[0]: r[1] for r in offered.where("to is not null").groupBy("to").agg(F.sum("n")).collect()}
         share = {t: min(1.0, max(0, capacity - load.get(t, 0)) / n) for t, n in want.items()}
