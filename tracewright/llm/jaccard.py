@@ -322,7 +322,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     classes = join(docs, **options)
     gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
     twice = classes.where("doc_id = class_id and n_links > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     repeated = written(twice, "repeated")
     if not repeated.head(1):
         return kept
