@@ -63,9 +63,8 @@ def removals(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
 
 def _joined(docs: DataFrame, words: int) -> DataFrame:
     gone = removals(docs, words).toDF(_ID, _HASH, _GONE)
-    docs = docs.withColumn(_LINES, F.split("text", "\n"))
     # removals grow with the documents: never broadcast
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(gone[_ID]) & (F.xxhash64("text") == gone[_HASH]), "left").drop(_ID, _HASH)
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(gone[_ID]) & (F.xxhash64("text") == gone[_HASH]), "left").drop(_ID, _HASH).withColumn(_LINES, F.split("text", "\n"))
 
 
 def _kept_text() -> Column:
