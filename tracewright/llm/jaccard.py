@@ -133,16 +133,17 @@ def _paths(levels: int, runs: int):
 
 
 def _pairs(batches):
-    """Sets of small nodes, with their sketches, to candidate links between alike ones."""
+    """Sets of small nodes, with their sketches, to candidate links that join all alike ones: a forest for each node, not its pairs."""
     for batch in batches:
         u, v = [], []
         for ids, raw in zip(batch.column("ids").to_pylist(), batch.column("sketches").to_pylist()):
             sketch = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, SKETCH)
             ids = np.array(ids)
             alike = (sketch[:, None, :] == sketch[None, :, :]).mean(2) >= ALIKE
-            a, b = np.nonzero(np.triu(alike, 1))
-            u.append(np.maximum(ids[a], ids[b]))
-            v.append(np.minimum(ids[a], ids[b]))
+            if forest := _forest(len(ids), *np.nonzero(np.triu(alike, 1))):
+                pair = ids[np.array(forest)]
+                u.append(pair.max(1))
+                v.append(pair.min(1))
         if u:
             pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
