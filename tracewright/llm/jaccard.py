@@ -295,7 +295,8 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     chosen = chosen.join(sizes, "component").select("id", "doc_id", "lo", "copies", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     chosen = written(chosen.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("of"), "text")
-    with_text = chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["of"])).select(*KEPT, "lo", "text")
+    # texts are shuffled at every size of the other side, which grows with the documents
+    with_text = chosen.hint("merge").join(texts, chosen["doc_id"].eqNullSafe(texts["of"])).select(*KEPT, "lo", "text")
     with_sets = written(with_text.mapInArrow(_shingles_of(width), "id long, component long, copies long, block int, shingles binary").dropDuplicates(["id"]), "shingles")
     blocks = chosen.groupBy("component").agg(F.max("blocks").alias("blocks"))
     tasks = with_sets.join(blocks, "component").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
