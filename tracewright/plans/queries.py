@@ -273,12 +273,13 @@ def vector_frequency(spark, d):
     return rows.select("Activity", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), "frequency", "last_seen")
 
 
-_EDGES = binning.uniform_edges(0.0, 10.0)
+def _edges() -> Column:
+    return binning.uniform_edges(0.0, 10.0)
 
 
 @query
 def static_bins(spark, d):
-    return _log(spark, d).select("EventID", binning.bin_of(F.col("FileSize") * 1.2 - 0.5, _EDGES).cast("long").alias("bin"))
+    return _log(spark, d).select("EventID", binning.bin_of(F.col("FileSize") * 1.2 - 0.5, _edges()).cast("long").alias("bin"))
 
 
 @query
@@ -289,7 +290,7 @@ def static_bins_halfeven(spark, d):
 
 @query
 def bin_counts(spark, d):
-    bins = {"FileSize": binning.bin_of(F.col("FileSize"), _EDGES), "ProcessingTime": binning.bin_of(F.col("ProcessingTime") / 50, _EDGES)}
+    bins = {"FileSize": binning.bin_of(F.col("FileSize"), _edges()), "ProcessingTime": binning.bin_of(F.col("ProcessingTime") / 50, _edges())}
     return binning.bin_counts(_log(spark, d), bins).withColumn("bin", F.col("bin").cast("long"))
 
 
@@ -307,7 +308,7 @@ def bin_quantiles(spark, d):
 
 @query
 def bin_split_median(spark, d):
-    return binning.bin_medians(_log(spark, d), "FileSize", _EDGES).select(F.col("bin").cast("long").alias("bin"), _r("median").alias("median"), "n")
+    return binning.bin_medians(_log(spark, d), "FileSize", _edges()).select(F.col("bin").cast("long").alias("bin"), _r("median").alias("median"), "n")
 
 
 @query
