@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import once, written
 
 WINDOW_WORDS = 50
 
@@ -42,7 +42,7 @@ def windows(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
     """id, text_hash, the window's hash (a, b), its first and last line i and j, and p and q, their numbers in the text."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), x.alias("line"))), lambda x: x["line"].rlike(_SOLID))
     hashed = F.transform(lines, lambda x: F.struct(x["p"].alias("p"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(17), x["line"]).alias("b"), F.size(F.array_remove(F.split(x["line"], _SPACES), "")).alias("w")))
-    df = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), hashed.alias("hs"))
+    df = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), once(hashed).alias("hs"))
     # explode_outer: for explode() Spark infers a filter, and evaluates hs for it once more for every line
     made = F.expr(f"""if(size(hs) < 1, array(), filter(transform(sequence(0, size(hs) - 1), i -> named_struct('i', i, 'j', {_window(words)})), x -> x.j is not null))""")
     df = df.select("id", "text_hash", "hs", F.explode_outer(made).alias("x")).where("x is not null")
@@ -64,7 +64,7 @@ def removals(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
 def _joined(docs: DataFrame, words: int) -> DataFrame:
     gone = removals(docs, words).toDF(_ID, _HASH, _GONE)
     # removals grow with the documents: never broadcast
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(gone[_ID]) & (F.xxhash64("text") == gone[_HASH]), "left").drop(_ID, _HASH).withColumn(_LINES, F.split("text", "\n"))
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(gone[_ID]) & (F.xxhash64("text") == gone[_HASH]), "left").drop(_ID, _HASH).withColumn(_LINES, once(F.split("text", "\n")))
 
 
 def _kept_text() -> Column:

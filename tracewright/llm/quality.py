@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import once
+
 BUCKETS = 1 << 14
 ORDERS = (1,)
 #: Added to a bucket's trusted count and to the count that the raw corpus lets expect.
@@ -62,8 +64,8 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, orders:
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__trusted")).distinct()
     if trusted.count() <= BROADCAST_ROWS:
         trusted = F.broadcast(trusted)
-    df = docs.select(F.col("doc_id").cast("long").alias("__id"), _words().alias("__w"))
-    df = df.select("__id", _codes(buckets, orders).alias("codes"))
+    df = docs.select(F.col("doc_id").cast("long").alias("__id"), once(_words()).alias("__w"))
+    df = df.select("__id", once(_codes(buckets, orders)).alias("codes"))
     df = df.join(trusted, F.col("__id") == F.col("__trusted"), "left").select(F.col("__trusted").isNotNull().cast("int").alias("t"), F.explode_outer("codes").alias("code")).where("code is not null")  # outer: else Spark infers a filter and hashes all words again for it
     raw, target = [0] * buckets, [0] * buckets
     for code, n, t in df.groupBy("code").agg(F.count("*"), F.sum("t")).collect():  # at most buckets rows
@@ -78,12 +80,12 @@ def features(docs: DataFrame) -> DataFrame:
     """docs with the columns of the base rules in front of their own, and __w."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_SOLID))
-    df = docs.withColumn("__w", _words())
-    df = df.withColumn("__g", F.expr("if(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))"))
+    df = docs.withColumn("__w", once(_words()))
+    df = df.withColumn("__g", once(F.expr("if(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))")))
     # windows are sorted by hash and place, those with an equal neighbour repeat, and each covers three words from its place, less what the next one covers
     # only texts with a repeated window pay for the sort by hash and place
-    df = df.withColumn("__s", F.expr("if(size(array_distinct(__g)) = size(__g), array(), sort_array(transform(__g, (x, i) -> struct(x as h, i as i))))"))
-    df = df.withColumn("__r", F.expr("sort_array(filter(transform(__s, (x, i) -> if(x.h = get(__s, i + 1).h or x.h = get(__s, i - 1).h, x.i, null)), y -> y is not null))"))
+    df = df.withColumn("__s", once(F.expr("if(size(array_distinct(__g)) = size(__g), array(), sort_array(transform(__g, (x, i) -> struct(x as h, i as i))))")))
+    df = df.withColumn("__r", once(F.expr("sort_array(filter(transform(__s, (x, i) -> if(x.h = get(__s, i + 1).h or x.h = get(__s, i - 1).h, x.i, null)), y -> y is not null))")))
     n_repeat = F.expr("if(size(__r) = 0, 0L, 3L + aggregate(zip_with(slice(__r, 2, size(__r)), slice(__r, 1, size(__r) - 1), (a, b) -> least(3, a - b)), 0L, (s, x) -> s + x))")
     return df.withColumns({
         "n_words": F.size("__w").cast("long"),
@@ -95,13 +97,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _verdict(docs: DataFrame, table: Column, threshold: float, buckets: int, orders: tuple[int, ...]) -> DataFrame:
-    df = features(docs).withColumn("__c", _codes(buckets, orders))
+    df = features(docs).withColumn("__c", once(_codes(buckets, orders)))
     total = F.aggregate("__c", F.lit(0.0), lambda s, c: s + F.get(table, c))
     score = F.when(F.size("__c") > 0, F.round(total / F.size("__c"), 9)).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumns({"base_failed": failed, "score": score})
-    # with the id, a filter on kept stays above; Spark would move it down, and so hash all words again for each of them
-    return df.withColumns({"kept": ~F.col("base_failed") & (F.col("score") >= threshold), "__id": F.monotonically_increasing_id()})
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def _table(docs: DataFrame, labels: DataFrame, buckets: int, orders: tuple[int, ...]) -> Column:
@@ -118,4 +119,4 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """docs, in their own columns, without those that judge() doesn't keep."""
     own = docs.select(F.struct(*docs.columns).alias("__doc"), "text")
-    return _verdict(own, _table(docs, labels, buckets, orders), threshold, buckets, orders).where("kept and __id >= 0").select("__doc.*")
+    return _verdict(own, _table(docs, labels, buckets, orders), threshold, buckets, orders).where("kept").select("__doc.*")

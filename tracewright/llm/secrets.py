@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import once, written
 
 # Kinds in the order of the report, their patterns and the group that holds the secret.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -89,7 +89,7 @@ def find(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     judged = judged.select("row", F.struct("start", "k", "end").alias("span"), (F.col("looks") & ~example).alias("live"), example.alias("example"))
     mine = judged.groupBy("row").agg(F.collect_list(F.struct("span", "live", "example")).alias("all"))
     base = F.transform(F.filter("all", lambda x: x["span"]["k"] < 3), lambda x: x["span"])
-    mine = mine.withColumn("base", base).withColumn("taken", _merged("base"))
+    mine = mine.withColumn("base", base).withColumn("taken", once(_merged("base")))
     free = F.filter("all", lambda x: (x["span"]["k"] < 3) | (x["live"] & ((F.size("taken") == 0) | ~F.exists("taken", lambda y: (y["start"] < x["span"]["end"]) & (x["span"]["start"] < y["end"])))))
     mine = mine.withColumn("kept", free)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")

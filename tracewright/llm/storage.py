@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,6 +30,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(column: Column) -> Column:
+    """column, which Spark then computes once for a row.
+
+    Else a filter on what is made from it moves down and takes copies of it along, also into lambdas, where it is computed for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables made by written() that nothing will read again."""
     for df in tables:
