@@ -373,6 +373,17 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.report(none).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(60, 10, 10), (30, 25, 5), (60, 60, 4, 4), (3, 60, 3)])
+def test_line_dedup_of_passages_with_long_lines(spark, sizes):
+    passage = [" ".join(words(n)) for n in sizes]
+    own = [[f"own {k} {j}" for j in range(3)] for k in range(3)]
+    rows = [(k, "\n".join(own[k][:2] + passage + own[k][2:])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(docs).collect()}
+    assert left == {0: rows[0][1], 1: "\n".join(own[1]), 2: "\n".join(own[2])}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.report(docs).collect()} == {0: 0, 1: len(sizes), 2: len(sizes)}
+
+
 def shingle_set(text):
     w = alnum(text)
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()

@@ -1,12 +1,15 @@
 """Removal of repeated passages by overlapping windows of lines, in DataFrame operations only.
 
 Lines are split at \\n; blank lines (ASCII white space only) take no part and
-always stay.  A window begins at every other line and holds three consecutive
-ones, or fewer if those already have over WINDOW_WORDS words, so that a long
-passage of one or two lines is a window too.  A document of fewer lines has one
-window of all its lines.  Windows of equal lines are found over the whole corpus
-by a 128-bit hash; the first occurrence in the order of (doc_id, line) stays,
-and the lines that later occurrences cover are removed, overlaps merged.
+always stay.  A window of three consecutive lines begins at every other line;
+one or two lines of over WINDOW_WORDS words are windows besides, so that a long
+passage of few lines is found too.  A document of fewer lines has one window of
+all its lines.  Windows of equal lines are found over the whole corpus by a
+128-bit hash; the first occurrence in the order of (doc_id, line) stays, and the
+lines that later occurrences cover are removed, overlaps merged.
+
+With shortest, only the shortest window that begins at a line counts: the rule
+of op9's SQL, which leaves the end of some repeated passages with long lines.
 
 Defined cases: a null text has no lines and stays null; a document with blank
 lines only stays as it is; a null doc_id comes first in the order, and texts of
@@ -30,21 +33,23 @@ _SOLID = r"[^\x20\x09-\x0D]"
 _ID, _HASH, _GONE, _LINES = "__line_dedup_id", "__line_dedup_hash", "__line_dedup_gone", "__line_dedup_lines"
 
 
-def _window(words: int) -> str:
-    """SQL: index of the last line of the window that begins at line i of hs, or null."""
-    return f"""case when hs[i].w > {words} then i
-        when i + 1 < size(hs) and hs[i].w + hs[i + 1].w > {words} then i + 1
-        when i + 2 < size(hs) then i + 2
-        when i = 0 then size(hs) - 1 end"""
+def _lasts(words: int, shortest: bool) -> str:
+    """SQL: indexes of the last lines of the windows that begin at line i of hs."""
+    all_lasts = f"""filter(array(
+        if(hs[i].w > {words}, i, null),
+        if(i + 1 < size(hs) and hs[i].w + hs[i + 1].w > {words}, i + 1, null),
+        if(i + 2 < size(hs), i + 2, null),
+        if(i = 0 and size(hs) < 3, size(hs) - 1, null)), j -> j is not null)"""
+    return f"slice({all_lasts}, 1, 1)" if shortest else f"array_distinct({all_lasts})"
 
 
-def windows(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
+def windows(docs: DataFrame, words: int = WINDOW_WORDS, shortest: bool = False) -> DataFrame:
     """id, text_hash, the window's hash (a, b), its first and last line i and j, and p and q, their numbers in the text."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), x.alias("line"))), lambda x: x["line"].rlike(_SOLID))
     hashed = F.transform(lines, lambda x: F.struct(x["p"].alias("p"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(17), x["line"]).alias("b"), F.size(F.array_remove(F.split(x["line"], _SPACES), "")).alias("w")))
     df = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), once(hashed).alias("hs"))
     # explode_outer: for explode() Spark infers a filter, and evaluates hs for it once more for every line
-    made = F.expr(f"""if(size(hs) < 1, array(), filter(transform(sequence(0, size(hs) - 1), i -> named_struct('i', i, 'j', {_window(words)})), x -> x.j is not null))""")
+    made = F.expr(f"""if(size(hs) < 1, array(), flatten(transform(sequence(0, size(hs) - 1), i -> transform({_lasts(words, shortest)}, j -> named_struct('i', i, 'j', j)))))""")
     df = df.select("id", "text_hash", "hs", F.explode_outer(made).alias("x")).where("x is not null")
     return df.selectExpr(
         "id", "text_hash", "xxhash64(transform(slice(hs, x.i + 1, x.j - x.i + 1), y -> y.a)) as a", "xxhash64(transform(slice(hs, x.i + 1, x.j - x.i + 1), y -> y.b)) as b",
@@ -52,17 +57,17 @@ def windows(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
     )
 
 
-def removals(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
+def removals(docs: DataFrame, words: int = WINDOW_WORDS, shortest: bool = False) -> DataFrame:
     """id, text_hash and gone, the numbers of the lines to remove, for each document that loses any."""
-    found = written(windows(docs, words).dropDuplicates(["id", "text_hash", "a", "b", "i"]), "windows")
+    found = written(windows(docs, words, shortest).dropDuplicates(["id", "text_hash", "a", "b", "i"]), "windows")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "text_hash", "i")
     repeated = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1").select("a", "b", "kept")
     later = found.join(repeated, ["a", "b"]).where(~place.eqNullSafe(F.col("kept")))
     return later.select("id", "text_hash", F.explode("covered").alias("p")).distinct().groupBy("id", "text_hash").agg(F.sort_array(F.collect_list("p")).alias("gone"))
 
 
-def _joined(docs: DataFrame, words: int) -> DataFrame:
-    gone = removals(docs, words).toDF(_ID, _HASH, _GONE)
+def _joined(docs: DataFrame, words: int, shortest: bool = False) -> DataFrame:
+    gone = removals(docs, words, shortest).toDF(_ID, _HASH, _GONE)
     # removals grow with the documents: never broadcast
     return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(gone[_ID]) & (F.xxhash64("text") == gone[_HASH]), "left").drop(_ID, _HASH).withColumn(_LINES, once(F.split("text", "\n")))
 
@@ -80,9 +85,9 @@ def remove_repeats(docs: DataFrame, words: int = WINDOW_WORDS, drop_emptied: boo
     return out.select(*docs.columns)
 
 
-def report(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
+def report(docs: DataFrame, words: int = WINDOW_WORDS, shortest: bool = False) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, text_sha256 of what stays (null for a null text)."""
-    df = _joined(docs.select("doc_id", "text"), words)
+    df = _joined(docs.select("doc_id", "text"), words, shortest)
     n_lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(_SOLID))), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
     gone = F.when(F.col(_GONE).isNull(), F.lit(0)).otherwise(F.size(_GONE)).cast("long")
