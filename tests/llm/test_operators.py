@@ -346,6 +346,22 @@ def test_long_license_in_a_long_text(spark):
     assert [(x["doc_id"], x["license"]) for x in got] == [(1, "MIT-text")] and 0.8 < got[0]["containment"] < 1
 
 
+def test_versions_of_licenses(spark):
+    t = licenses.TEMPLATES
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    bsd3 = t["BSD-3-Clause-license"].replace("the copyright holder nor", "Example Inc. nor")
+    want = {gpl2: {"GPL-2.0-notice"}, gpl2 + "\n" + t["GPL-3.0-notice"]: {"GPL-2.0-notice", "GPL-3.0-notice"}, bsd3: {"BSD-3-Clause-license"}, "Released under the MIT License.": {"MIT"}}
+    for name in ("BSD-2-Clause", "AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "ISC", "0BSD", "Unlicense", "MIT", "MIT-0", "MPL-2.0"):
+        want[prose(30) + "\n" + t[f"{name}-license"]] = {f"{name}-license"}
+    for name in ("EPL-2.0", "EPL-1.0", "LGPL-2.1-notice", "AGPL-3.0-notice", "LGPL-3.0", "CC-BY-NC-SA-4.0"):
+        want[t[name]] = {name}
+    texts = list(want)
+    got = collections.defaultdict(set)
+    for r in licenses.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert dict(got) == {i: want[x] for i, x in enumerate(texts)}
+
+
 def test_line_dedup(docs, rows, none):
     seen, gone = {}, collections.defaultdict(set)
     unique = sorted({(r[0] is not None, r[0] or 0, r[1] or "", r[1] is None) for r in rows})
