@@ -447,17 +447,92 @@ def test_jaccard_join_of_a_large_near_group(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_jaccard_join_compares_blocks_of_like_size(spark, monkeypatch):
+    """A component of many sizes: prefixes of one text, each a little longer than the one before."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    base = words(400)
+    rows = [(i, " ".join(base[: 60 + 4 * i])) for i in range(85)]
+    assert counted(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_join(rows)
+
+
+def test_recall_of_many_near_copies(spark):
+    """10,000 near copies at similarities about the threshold: every pair that is linked shares a class, and 999 in 1,000 links are counted."""
+    r = random.Random(9)
+    rows, n = [], 0
+    for g in range(2500):
+        base = words(120)
+        for k in range(4):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"own{n}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    got = {x["doc_id"]: x for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    links = collections.Counter()
+    apart = 0
+    for g in range(0, n, 4):
+        for a in range(g, g + 4):
+            for b in range(g, a):
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    links[a] += 1
+                    links[b] += 1
+                    apart += got[a]["class_id"] != got[b]["class_id"]
+    assert sum(links.values()) > 5000 and apart <= sum(links.values()) / 2000
+    assert sum(got[i]["n_links"] for i in range(n)) >= 0.999 * sum(links.values())
+    assert all(got[i]["n_links"] <= links[i] for i in range(n))
+
+
+def kept_by_brute_force(rows):
+    """Positions of the rows that may stay, one list for each class: the class's rows of the least doc_id of its first set."""
+    sets = [shingle_set(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    classes = collections.defaultdict(list)
+    for k in range(len(rows)):
+        classes[root(k)].append(k)
+    out = []
+    for members in classes.values():
+        least = min((rows[k][0] is None, rows[k][0] or 0) for k in members)
+        out.append({k for k in members if (rows[k][0] is None, rows[k][0] or 0) == least})
+    return out
+
+
 def test_representatives_keep_one(docs, rows):
     kept = jaccard.representatives(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    classes = {r["doc_id"]: r["class_id"] for r in jaccard.join(docs).collect()}
-    assert len(ids) == len(set(ids)) and set(ids) == {c for i, c in classes.items()} | {None}
+    ids = counted([r["doc_id"]] for r in kept.collect())
+    assert ids == counted([next(iter({rows[k][0] for k in c}))] for c in kept_by_brute_force(rows))
+
+
+def test_representatives_tell_rows_apart(spark):
+    """One doc_id with two texts, repeated rows, rows without doc_id, and columns with the names of helpers."""
+    r = random.Random(11)
+    text = {k: " ".join(words(40)) for k in "abcdef"}
+    near = " ".join(text["a"].split(" ")[:-1] + ["other"])
+    rows = [(1, "a"), (5, "a"), (5, "b"), (7, "c"), (None, "c"), (None, "d"), (None, "d"), (None, "e"), (9, "e"), (9, "e"), (9, "f"), (9, "f"), (3, None), (3, None), (None, None), (4, "")]
+    rows = [(i, text.get(k, k), f"g{n}", n) for n, (i, k) in enumerate(rows)] + [(5, near, "near", 99)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__gone` string, `__twice` int").withColumn("an odd.name", F.lit(1))
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    got = counted((x["doc_id"], x["text"]) for x in kept.collect())
+    assert got == counted([(1, text["a"]), (5, text["b"]), (7, text["c"]), (None, text["d"]), (9, text["e"]), (9, text["f"]), (3, None), (3, None), (None, None), (4, "")])
 
 
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)]
+    edges += [(9999, k) for k in range(5000, 8000)] + [(450, k) for k in range(10000, 12500)]  # hubs
     got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
     parent = {}
 

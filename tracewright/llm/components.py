@@ -5,34 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import dropped, written
+from ..storage import HEAVY, dropped, written
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _with_least(rows: DataFrame, least: DataFrame, hubs: list[int]) -> DataFrame:
+    """rows with m, the least neighbour of u; hubs, a few nodes of very many links, come by broadcast."""
+    if not hubs:
+        return rows.join(least, "u")
+    is_hub = F.col("u").isin(hubs)
+    return rows.where(~is_hub).join(least.where(~is_hub), "u").unionByName(rows.where(is_hub).join(F.broadcast(least.where(is_hub)), "u"))
+
+
+def _large(edges: DataFrame, hubs: list[int]) -> DataFrame:
+    both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _with_least(both.where("v > u"), least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, hubs: list[int]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    moved = _with_least(down, least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _look(edges: DataFrame, links: int) -> tuple[tuple, list[int], int]:
+    """A sign of the edges that changes when they do, the nodes with over one in HEAVY of links ends, and the number of edges."""
+    per_node = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    hub = F.when(F.col("n") > max(HEAVY, 2 * links // HEAVY), F.col("u"))
+    n, h, hubs = per_node.agg(F.sum("n"), F.sum("h"), F.collect_list(hub)).first()  # a bounded list: hubs have most links between them
+    return (n, h), sorted(hubs), (n or 0) // 2
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link, roots included; the root is the component's least node.
 
     edges: columns u and v of type long.  Rows with a null or with u = v link nothing.
     """
     now = written(edges.where("u != v").select("u", "v"), "links")
-    before = None
+    before, hubs, n = _look(now, now.count())
     while True:
-        after = written(_small(_large(now)), "stars")
+        after = written(_small(_large(now, hubs), hubs), "stars")
         dropped(now)
         now = after
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        sign, hubs, n = _look(now, n)
         if sign == before:
             break
         before = sign

@@ -14,13 +14,19 @@ the last level, where all sets of a node are linked to one of them unseen, so
 that no large node is cut off.  Components of candidate links then hold every
 pair that can matter, and all pairs of a component are compared exactly on the
 shingles, block against block, so that links inside a component are found
-whatever paths found it.  Out of each comparison of blocks come counts of links
-for each set and a spanning forest, never the pairs.
+whatever paths found it.  Blocks hold sets of like size, and only blocks are
+compared whose sizes allow the threshold.  Out of each comparison of blocks come
+counts of links for each set and a spanning forest, never the pairs.  The number
+of links of a set is a count over pairs, so a group of very many different texts
+that are all alike costs the square of their number, in tasks of bounded size.
 
 Defined cases: a document of fewer than five words has one shingle of all its
 words; a document without words, or a null, has no links and is a class of its
-own; repeated rows of a doc_id are copies of each other; rows without doc_id
-take part and bear a null; an empty table gives no rows.
+own; rows of equal sets are copies of each other, whatever their doc_ids; rows
+of one doc_id with different texts are different documents; rows without doc_id
+take part and bear a null; a very long text is a chunk of its own and is read
+whole; an empty table gives no rows; other columns are carried along by
+representatives(), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,18 +38,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import dropped, join_counted, written
 from . import textops
 from .components import components
-from .storage import written
 
 WIDTH = 5
 THRESHOLD = 0.8
 SKETCH = 48
 #: The chance for each position of a sketch to be sampled is 1 / (BRANCH * SKETCH).
 BRANCH = 0.7
-#: The same below the first trees' last level, where sets share many nodes already.
-BRANCH_BELOW = 0.95
+#: Trees that grow from each node of many sets, so that a pair isn't lost by one unlucky split.
+REGROWN = 2
 #: Levels of the first trees, and of the further splits of nodes with many sets.
 LEVELS = (3, 5, 8)
 #: Sets of a node that is brute-forced.
@@ -53,17 +60,25 @@ RECALL = 0.999
 ALIKE = 0.5
 #: Sets in a block of the exact comparison.
 BLOCK = 512
+#: Sizes of a block's sets are within this ratio, where a component has several blocks.
+SIZE_RATIO = 1.25
 
 SEEDS = textops.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = textops.mix(SEEDS) | np.uint64(1)
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, level: int = LEVELS[0]) -> int:
-    """Runs after which a pair at the threshold has shared a node with probability recall, two standard errors of the sketch below it."""
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS) -> int:
+    """Runs after which a pair at the threshold has shared a last node with probability recall, two standard errors of the sketch below it.
+
+    The worst case counts: all nodes that the pair shares have many sets, down to the last level.
+    """
     similar = threshold - 2 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    lost = 0.0
-    for _ in range(level):  # a Poisson number of shared children for each shared node
-        lost = math.exp(-(similar / BRANCH) * (1 - lost))
+    lost = 0.0  # the chance that a shared node leads to no shared node of the last level
+    for turn in range(len(levels) - 1, -1, -1):
+        for _ in range(levels[turn] - (levels[turn - 1] if turn else 0)):  # a Poisson number of shared children for each shared node
+            lost = math.exp(-(similar / BRANCH) * (1 - lost))
+        if turn:
+            lost **= REGROWN
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
@@ -98,9 +113,9 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, sketch binary")
 
 
-def _grow(sketch: np.ndarray, rows: np.ndarray, path: np.ndarray, levels: int, branch: float) -> tuple[np.ndarray, np.ndarray]:
+def _grow(sketch: np.ndarray, rows: np.ndarray, path: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Splits nodes levels times: (rows, path) of the sets in the nodes reached."""
-    chance = np.uint64(int(2**64 / (branch * SKETCH)))
+    chance = np.uint64(int(2**64 / (BRANCH * SKETCH)))
     for _ in range(levels):
         out_rows, out_path = [], []
         for k in range(SKETCH):
@@ -120,13 +135,12 @@ def _paths(levels: int, runs: int):
                 continue
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH).astype(np.uint64)
             if "path" in batch.schema.names:
-                branch = BRANCH_BELOW
-                rows, path = np.arange(len(sketch)), batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
+                rows = np.tile(np.arange(len(sketch)), REGROWN)
+                path = np.concatenate([textops.mix(batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64) + SEEDS[k]) for k in range(REGROWN)])
             else:
-                branch = BRANCH
                 rows = np.tile(np.arange(len(sketch)), runs)
                 path = np.repeat(textops.mix(np.arange(1, runs + 1, dtype=np.uint64)), len(sketch))
-            rows, path = _grow(sketch, rows, path, levels, branch)
+            rows, path = _grow(sketch, rows, path, levels)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(path.view(np.int64))], ["id", "path"])
 
     return run
@@ -149,14 +163,16 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
-def candidate_links(sets: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Links (u, v) whose components hold all pairs of sets that some run brings together.  sets: a table of id and sketch."""
+def candidate_links(sets: DataFrame, recall: float = RECALL, tables: list[DataFrame] | None = None) -> DataFrame:
+    """Links (u, v) whose components hold all pairs of sets that some run brings together.  sets: a table of id and sketch; tables: takes the tables that the links are made of."""
+    tables = [] if tables is None else tables
     links = None
     todo, runs = sets.select("id", "sketch"), runs_for(recall)
     for turn, level in enumerate(LEVELS):
         steps = level - (LEVELS[turn - 1] if turn else 0)
         reached = written(todo.mapInArrow(_paths(steps, runs), "id long, path long"), f"paths-{turn}")
         nodes = written(reached.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), f"nodes-{turn}")
+        tables += [reached, nodes]
         small = reached.join(nodes.where(F.col("n") <= SMALL).select("path"), "path").groupBy("path").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
         small = small.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id")).join(sets.select("id", "sketch"), "id")
         small = small.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("sketch").alias("sketches")).select("ids", "sketches")
@@ -227,7 +243,7 @@ def _compare_sets(pdf: pd.DataFrame, threshold: float) -> list[tuple[np.ndarray,
     """(ids, links, other) of the sets of one component's block, or two blocks."""
     sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
     ids, copies, block = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-    one = int(pdf["low"].iloc[0]) == int(pdf["high"].iloc[0])
+    one = pdf["low"].iloc[0] == pdf["high"].iloc[0]
     cut = len(ids) if one else int(np.searchsorted(block, block[0], "right"))
     if len(ids) < 2 or not one and cut == len(ids):
         return []
@@ -263,7 +279,7 @@ def _compare(threshold: float):
     return run
 
 
-KEPT = ["id", "component", "copies", "block"]
+KEPT = ["id", "component", "copies", "step"]
 
 
 def _shingles_of(width: int):
@@ -282,51 +298,107 @@ def _shingles_of(width: int):
     return run
 
 
-def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Every document with class_id (the least doc_id of its class) and n_links (the documents at or over the threshold, copies included)."""
+def _classes(docs: DataFrame, width: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Tables: every row's doc_id, n, hi and lo; every set's hi, lo, n, root, least_doc, copies and n_links."""
     all_docs = written(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = all_docs.where("n > 0")
     # a set's id is its least row; a set's copies are counted before anything is shuffled by set
     sets = written(known.groupBy("hi", "lo", "n").agg(F.min("row").alias("id"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc")), "sets")
-    reps = written(known.select(F.col("row").alias("id"), "doc_id", "lo", "sketch").join(sets.select("id", "copies"), "id"), "representatives")
-    rough = written(components(candidate_links(reps, recall)), "rough")
-    chosen = rough.join(reps.select("id", "doc_id", "lo", "copies"), rough["node"] == reps["id"]).select("id", "doc_id", "lo", "copies", F.col("root").alias("component"))
-    sizes = chosen.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = chosen.join(sizes, "component").select("id", "doc_id", "lo", "copies", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    chosen = written(chosen.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "chosen")
+    reps = written(known.select(F.col("row").alias("id"), "doc_id", "n", "lo", "sketch").join(sets.select("id", "copies"), "id"), "representatives")
+    tables: list[DataFrame] = []
+    rough = written(components(candidate_links(reps, recall, tables)), "rough")
+    dropped(*tables)
+    chosen = rough.join(reps.select("id", "doc_id", "n", "lo", "copies"), rough["node"] == reps["id"])
+    # sets at the threshold differ in size by its inverse at most, so that only near steps of size are compared
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_RATIO)).cast("int")
+    chosen = written(chosen.select("id", "doc_id", "lo", "copies", F.col("root").alias("component"), step.alias("step")), "chosen")
+    sizes = written(chosen.groupBy("component", "step").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "sizes")
+    # sets of a component that fits a block share one, whatever their sizes
+    whole = written(sizes.groupBy("component").agg(F.sum("size").alias("all")).where(F.col("all") <= BLOCK), "small-components")
+    near = math.ceil(-math.log(threshold) / math.log(SIZE_RATIO) - 1e-9)
+    split = sizes.join(whole, "component", "left_anti")
+    other = split.select("component", F.col("step").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to_block"))
+    meets = split.join(other, "component").where(F.abs(F.col("to") - F.col("step")) <= near)
+    meets = written(meets.groupBy("component", "step", "size", "blocks").agg(F.collect_list(F.struct("to", "to_block")).alias("with")), "meetings")
     texts = docs.select(F.col("doc_id").cast("long").alias("of"), "text")
     # texts are shuffled at every size of the other side, which grows with the documents
     with_text = chosen.hint("merge").join(texts, chosen["doc_id"].eqNullSafe(texts["of"])).select(*KEPT, "lo", "text")
-    with_sets = written(with_text.mapInArrow(_shingles_of(width), "id long, component long, copies long, block int, shingles binary").dropDuplicates(["id"]), "shingles")
-    blocks = chosen.groupBy("component").agg(F.max("blocks").alias("blocks"))
-    tasks = with_sets.join(blocks, "component").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tasks = tasks.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    with_sets = written(with_text.mapInArrow(_shingles_of(width), "id long, component long, copies long, step int, shingles binary").dropDuplicates(["id"]), "shingles")
     # a component of one block shares its task with others, so that a task has about BLOCK sets
-    few = max(1, chosen.where("blocks = 1").count() // BLOCK)
-    task = F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(few)))
-    tasks = tasks.withColumn("task", task).drop("with", "blocks")
+    few = max(1, (whole.agg(F.sum("all")).first()[0] or 0) // BLOCK)
+    one = with_sets.join(whole, "component", "left_semi").withColumns({"block": F.lit("0"), "low": F.lit("0"), "high": F.lit("0"), "task": -1 - F.pmod(F.xxhash64("component"), F.lit(few))})
+    many = join_counted(with_sets, meets, ["component", "step"], "size")
+    block = lambda a, b: F.concat_ws(":", F.lpad(a.cast("string"), 9, "0"), F.lpad(b.cast("string"), 9, "0"))
+    many = many.withColumn("block", block(F.col("step"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    many = many.withColumn("x", F.explode("with")).withColumn("other", block(F.col("x.to"), F.col("x.to_block")))
+    many = many.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "task": F.col("component")})
+    tasks = one.unionByName(many.select(*one.columns)).select("id", "component", "copies", "block", "shingles", "low", "high", "task")
     found = written(tasks.groupBy("task", "low", "high").applyInPandas(_compare(threshold), LINKS), "links-found")
+    dropped(with_sets, meets, sizes, whole, chosen, rough)
     classes = components(found.where("other >= 0").select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")))
     counts = found.where("other < 0").groupBy("id").agg(F.sum("links").alias("links"))
     per_set = sets.join(counts, "id", "left").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
-    per_set = written(per_set.select("hi", "lo", "n", F.coalesce("root", "id").alias("root"), "least_doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "per-set")
-    least = per_set.groupBy("root").agg(F.min("least_doc").alias("class_id"))
-    per_set = per_set.join(least, "root").select("hi", "lo", "n", "class_id", "n_links")
-    alone = all_docs.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return known.join(per_set, ["hi", "lo", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+    per_set = written(per_set.select("hi", "lo", "n", F.coalesce("root", "id").alias("root"), "least_doc", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "per-set")
+    dropped(sets, reps, found)
+    return all_docs.select("doc_id", "n", "hi", "lo"), per_set
+
+
+def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Every document with class_id (the least doc_id of its class) and n_links (the documents at or over the threshold, copies included)."""
+    rows, per_set = _classes(docs, width, threshold, recall)
+    least = per_set.groupBy("root").agg(F.min("least_doc").alias("class_id"), F.count("*").alias("sets"))
+    per_set = written(join_counted(per_set, written(least, "class-ids"), ["root"], "sets").select("hi", "lo", "n", "class_id", "n_links", "copies"), "class-sets")
+    alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    linked = join_counted(rows.where("n > 0"), per_set, ["hi", "lo", "n"], "copies")
+    return linked.select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def _with_fingerprint(docs: DataFrame, width: int, names: dict[str, str]) -> DataFrame:
+    """docs and, under names, the size and fingerprint of the shingles of text."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+
+    def run(batches):
+        for batch in batches:
+            for texts in textops.chunks(batch.column("text")):
+                values, first = textops.shingles(texts, width)
+                hi, lo = fingerprints(values, first)
+                part = batch.column("doc").slice(texts.first, len(texts))
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.diff(first), pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["doc", *(names[c] for c in ("n", "hi", "lo"))])
+
+    return out.mapInArrow(run, T.StructType([out.schema["doc"], *(T.StructField(names[c], T.LongType()) for c in ("n", "hi", "lo"))]))
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """docs, in their own columns, with one document of each class: the one with the least doc_id.
+def representatives(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs, in their own columns, with one row of each class: of its sets the one with the least doc_id (a null comes last), of that set's rows one with that doc_id.
 
-    Documents without words, or without doc_id, are all kept; of rows that repeat a kept doc_id one stays.
+    A document without words is a class of its own and stays.  Rows are told apart by doc_id and set, so that a doc_id
+    may stand for several texts, and many rows may have none.
     """
-    classes = join(docs, **options)
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    twice = classes.where("doc_id = class_id and n_links > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
-    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = written(twice, "repeated")
-    if not repeated.head(1):
-        return kept
-    single = kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(single)
+    rows, per_set = _classes(docs, width, threshold, recall)
+    place = F.struct(F.col("least_doc").isNull().alias("unknown"), "least_doc", "hi", "lo", "n")
+    best = written(per_set.groupBy("root").agg(F.min(place).alias("x"), F.count("*").alias("sets")), "best-sets")
+    chosen = best.select(F.col("x.hi").alias("hi"), F.col("x.lo").alias("lo"), F.col("x.n").alias("n"), F.lit(True).alias("is_best"))
+    kept = written(per_set.join(chosen, ["hi", "lo", "n"], "left").select("hi", "lo", "n", "least_doc", "copies", F.coalesce("is_best", F.lit(False)).alias("is_best")), "kept-sets")
+    judged = join_counted(rows.where("n > 0"), kept, ["hi", "lo", "n"], "copies")
+    judged = judged.select("doc_id", (F.col("is_best") & F.col("doc_id").eqNullSafe(F.col("least_doc"))).alias("kept"))
+    judged = judged.unionByName(rows.where("n = 0").select("doc_id", F.lit(True).alias("kept")))
+    per_doc = written(judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")), "kept-documents")
+    # nearly every doc_id has one row, which goes or stays; the rows of the others, and those without doc_id, are looked at one by one
+    key = "__jaccard_doc"
+    several = per_doc.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias(key))
+    gone = per_doc.where("(rows = 1 and not kept and doc_id is not null) or rows > 1").select(F.col("doc_id").alias(key))
+    plain = docs.where("doc_id is not null").join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    if not several.head(1):
+        return plain
+    names = {c: f"__jaccard_{c}" for c in ("n", "hi", "lo")}
+    unsure = docs.where("doc_id is not null").join(several.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left_semi").unionByName(docs.where("doc_id is null"))
+    printed = written(_with_fingerprint(unsure, width, names), "looked-at")
+    best = kept.where("is_best").select(*[F.col(c).alias(f"__best_{c}") for c in names], F.col("least_doc").alias(key))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col(key))
+    for c in names:
+        same = same & (F.col(names[c]) == F.col(f"__best_{c}"))
+    right = printed.where(F.col(names["n"]) > 0).join(best.hint("merge"), same, "left_semi")
+    # equal rows fold before the shuffle
+    single = right.groupBy(*names.values()).agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")).select("doc.*")
+    wordless = printed.where(F.col(names["n"]) == 0).select("doc.*")
+    return plain.unionByName(single).unionByName(wordless)

@@ -26,7 +26,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import written
+from ..storage import written
 
 WIDTH = 5
 BANDS = 32

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import once, written
+from ..storage import once, written
 
 WINDOW_WORDS = 50
 

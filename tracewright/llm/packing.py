@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .storage import dropped, written
+from ..storage import dropped, written
 from .tokens import tokenizer_of, vocabulary
 
 CAPACITY = 2048

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import once
+from ..storage import once
 
 BUCKETS = 1 << 14
 ORDERS = (1,)

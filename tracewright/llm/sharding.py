@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, written
+from ..storage import dropped, written
 
 SHARDS = 40
 ROUNDS = 12

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .storage import written
+from ..storage import written
 from .tokens import tokenizer_of, vocabulary
 
 #: Tokens in a block.
