@@ -239,10 +239,41 @@ def test_sharding(spark, docs, rows, none):
     want = counted((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
     assert counted(tuple(r[:3]) for r in got if r[0] is None or r[0] < 1000) == want
     copies = {r["shard"] for r in got if r["doc_id"] is not None and r["doc_id"] >= 1000}
-    assert len(copies) < 36  # unlinked they would be in all
+    quota = n // 40
+    assert len(copies) <= -(-150 // quota) + 1  # larger than a shard: full shards and a rest
     assert sharding.place(none).count() == 0
 
 
+def cut_links(rows):
+    """Pairs of copies in different shards, and all pairs."""
+    groups = collections.defaultdict(collections.Counter)
+    for r in rows:
+        groups[r["text_crc32"]][r["shard"]] += 1
+    cut = sum((sum(c.values()) ** 2 - sum(x * x for x in c.values())) // 2 for c in groups.values())
+    return cut, sum(sum(c.values()) * (sum(c.values()) - 1) // 2 for c in groups.values())
+
+
+@pytest.mark.parametrize("groups", [[50] * 30, [62, 61, 60] * 10, [2] * 700 + [30] * 30, [31] * 79, [3] * 800])
+def test_sharding_cuts_no_group_that_fits(spark, groups):
+    """Of groups that a full solution leaves whole, at most those are cut that the last rooms can't hold."""
+    texts = [f"group {g}" for g, n in enumerate(groups) for _ in range(n)]
+    texts += [f"single {i}" for i in range(2480 - len(texts))]
+    random.Random(1).shuffle(texts)
+    got = sharding.place(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert set(sizes.values()) == {62} and len(sizes) == 40
+    cut, links = cut_links(got)
+    assert links > 0 and cut <= (0 if sum(groups) < 2300 else 0.02 * links)
+
+
+def test_sharding_of_a_group_of_a_third_of_all(spark):
+    texts = ["hot"] * 800 + [f"pair {i // 2}" for i in range(400)] + [f"single {i}" for i in range(1200)]
+    got = sharding.place(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    where = collections.Counter(r["shard"] for r in got if r["doc_id"] < 800)
+    assert sorted(where.values()) == [20] + [60] * 13  # the least that quotas of 60 cut
+    assert cut_links([r for r in got if 800 <= r["doc_id"] < 1200])[0] == 0
+
+
 def test_packing(docs, rows, none):
     got = packing.pack(packing.pieces(docs)).collect()
     bins = collections.defaultdict(list)
