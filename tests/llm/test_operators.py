@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import components, decontamination, jaccard, licenses, line_dedup, packing, pii, quality, secrets, sharding, textops, token_counts, tokens
 
+from .labelled_spans import labelled
+
 R = random.Random(5)
 VOCABULARY = ["".join(R.choices("abcdeéñß", k=R.randint(1, 9))) for _ in range(400)]
 
@@ -151,16 +153,116 @@ def test_pii_base_patterns_are_linear_and_equal():
         assert [x for x in pii.base_spans(t) if x[0] == 0] == [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
 
 
-def test_pii_model_on_held_out_spans():
-    w, made = pii.trained(), pii.Generator(1234)
-    hit = total = wrong = clean = 0
-    for _ in range(200):
-        text, tags = made.window(96)
-        got = pii.model_tags(w, [text])[0]
-        for g, y in zip(got[24:72], tags[24:72]):
-            total, hit = total + (y > 0), hit + (y > 0 and (g + 1) // 2 == (y + 1) // 2)
-            clean, wrong = clean + (y == 0), wrong + (y == 0 and g > 0)
-    assert hit / total > 0.95 and wrong / clean < 0.02
+def found_by_model(text):
+    """The model's own spans, trimmed as the operator trims them."""
+    out = set()
+    for k, s, e in pii.tag_spans(pii.model_tags(pii.trained(), [text])[0]):
+        while s < e and text[s].isspace():
+            s += 1
+        while s < e and text[e - 1] in " \n,.:;-(":
+            e -= 1
+        if e - s >= 7 and pii.valid(k, text[s:e]):
+            out.add((pii.KINDS[k], s, e))
+    return out
+
+
+def test_pii_model_on_sentences_labelled_by_hand():
+    right = found = wanted = 0
+    for text, spans in labelled():
+        got = found_by_model(text)
+        meets = lambda x, others: any(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in others)
+        right, found, wanted = right + sum(meets(x, spans) for x in got), found + len(got), wanted + sum(meets(x, got) for x in spans) / len(spans) if spans else wanted
+    assert right / found > 0.95 and wanted / sum(bool(s) for _, s in labelled()) > 0.9
+
+
+def test_pii_training_lowers_the_loss():
+    import numpy as np
+
+    made = pii.Generator(99, pii.prose())
+    texts_, tags = zip(*(made.window(56) for _ in range(64)))
+    x, y = np.array([pii.classes(t) for t in texts_]), np.array(tags)
+    for k in range(4):
+        y[:, 0] = np.where(y[:, 0] == 2 * k + 2, 2 * k + 1, y[:, 0])
+    begin, some, kept = (pii.loss(w, x, y)[0] for w in (pii.init(np.random.default_rng(1)), pii.fit(steps=25), pii.trained()))
+    assert kept < 0.3 * some < 0.3 * begin
+
+
+def test_pii_gradient():
+    """The gradient against differences, the scores of first and last tags included."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    w = {k: v.astype(np.float64) + 0.1 * rng.normal(size=v.shape) for k, v in pii.init(rng).items()}
+    x, y = rng.integers(0, pii.N_CLASSES, (3, 7)), rng.integers(0, pii.TAGS, (3, 7))
+    _, grad = pii.loss(w, x, y)
+    for k in ("start", "end", "move", "bias", "fx", "bh", "out"):
+        at = tuple(rng.integers(0, n) for n in w[k].shape)
+        at = (x[0, 3], *at[1:]) if k == "fx" else at
+        up, down = ({**w, k: w[k].copy()} for _ in range(2))
+        up[k][at] += 1e-3
+        down[k][at] -= 1e-3
+        assert grad[k][at] == pytest.approx((pii.loss(up, x, y)[0] - pii.loss(down, x, y)[0]) / 2e-3, rel=0.05, abs=2e-3)
+
+
+def test_pii_windows_are_reconciled_like_one_by_one():
+    """Tags of adjoining windows by brute force: each window alone, weighted sums character by character, the best path by plain Viterbi."""
+    import numpy as np
+
+    w, made = pii.trained(), pii.Generator(5, pii.prose())
+    texts_ = [made.window(n)[0] for n in (30, 96, 400, 900)] + ["no number " * 30 + "call +1 (555) 555-0101 " + "no number " * 40 + "a@b.example.org"]
+    got = pii.model_tags(w, texts_)
+    for text, tags in zip(texts_, got):
+        x = pii.classes(text)
+        total, weight = np.zeros((len(text), pii.TAGS)), np.zeros((len(text), 1))
+        near = [any(c in "@0123456789" for c in text[max(0, k * pii.STRIDE - pii.MARGIN) : (k + 1) * pii.STRIDE + pii.MARGIN]) for k in range(-(-len(text) // pii.STRIDE))]
+        for k, ok in enumerate(near):
+            if ok:
+                window = np.full(pii.WINDOW, pii.NOTHING)
+                low = k * pii.STRIDE - pii.MARGIN
+                for t in range(pii.WINDOW):
+                    if 0 <= low + t < len(text):
+                        window[t] = x[low + t]
+                p = pii.probabilities(w, window[None])[:, 0]
+                for t in range(pii.WINDOW):
+                    if 0 <= low + t < len(text):
+                        says = min(t + 1, pii.WINDOW - t)
+                        total[low + t] += says * p[t]
+                        weight[low + t] += says
+        seen = weight[:, 0] > 0
+        want = np.zeros(len(text), int)
+        begin = 0
+        while begin < len(text):
+            if not seen[begin]:
+                begin += 1
+                continue
+            end = begin
+            while end < len(text) and seen[end]:
+                end += 1
+            score = np.log(total[begin:end] / weight[begin:end] + 1e-9)
+            best, came = score[0], []
+            for t in range(1, end - begin):
+                s = best[:, None] + pii.allowed()
+                came.append(s.argmax(0))
+                best = s.max(0) + score[t]
+            tag = int(best.argmax())
+            path = [tag]
+            for c in reversed(came):
+                tag = int(c[tag])
+                path.append(tag)
+            want[begin:end] = path[::-1]
+            begin = end
+        assert (tags == want).mean() > 0.999
+
+
+def test_pii_adds_spans_and_keeps_base_ones(spark):
+    texts_ = ["ring (555) 555-0134 or mail kim @ mail7.example.org today, 10.1.2.3 is up", "x@y.example.com and +1 555 555 0101 again", "nothing in 1999"]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    assert got[0]["n_model"] >= 1 and "ip:" in got[0]["spans"] and got[0]["n_spans"] == len(got[0]["spans"].split(","))
+    assert got[1]["spans"] == "email:0:15,phone:20:35" and got[1]["n_model"] == 0 and got[1]["n_spans"] == 2
+    assert got[2]["spans"] == "" and got[2]["n_spans"] == 0
+    for r in got.values():
+        base = pii.base_spans(texts_[r["doc_id"]])
+        assert {f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base} <= set(r["spans"].split(","))
 
 
 def test_decontamination(spark, docs, rows, none):
@@ -181,22 +283,45 @@ def test_decontamination(spark, docs, rows, none):
 
     expected = counted((r[0], *want(r[1])) for r in rows)
     assert counted(decontamination.scan_documents(docs, bench).collect()) == expected
-    assert counted(decontamination.scan_documents(docs, bench, block_bytes=1).collect()) == expected  # each item its own block
+    assert counted(decontamination.scan_documents(docs, bench, broadcast_bytes=0).collect()) == expected  # by a Bloom filter and a join
     assert sum(r["contaminated"] for r in decontamination.scan_documents(docs, bench).collect()) >= 3
     left = decontamination.decontaminate(docs, bench)
     assert left.columns == docs.columns
     assert counted([r["doc_id"]] for r in left.collect()) == counted([k[0]] for k in expected.elements() if not k[-1])
     cut = decontamination.decontaminate(docs, bench, remove="spans")
     assert cut.count() == len(rows) and not any(r["contaminated"] for r in decontamination.scan_documents(cut, bench).collect())
+    joined = decontamination.decontaminate(docs, bench, broadcast_bytes=0)
+    assert joined.columns == docs.columns and counted([r["doc_id"]] for r in joined.collect()) == counted([r["doc_id"]] for r in left.collect())
+    joined = decontamination.decontaminate(docs, bench, "spans", broadcast_bytes=0)
+    assert joined.columns == docs.columns and counted(map(tuple, joined.collect())) == counted(map(tuple, cut.collect()))
     assert decontamination.scan_documents(none, bench).count() == 0
     assert not any(r["n_hit"] for r in decontamination.scan_documents(docs, bench.where("false")).collect())
 
 
+def test_decontamination_of_a_passage_in_many_items_and_documents(spark):
+    passage = " ".join(words(40))
+    bench = spark.createDataFrame([(i, passage if i % 2 else " ".join(words(20))) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, (passage if i % 3 == 0 else " ".join(words(30))) + f" tail {i}") for i in range(300)], "doc_id long, text string")
+    one = decontamination.scan_documents(docs, bench).collect()
+    assert counted(one) == counted(decontamination.scan_documents(docs, bench, broadcast_bytes=0).collect())
+    assert all(r["n_items"] == 30 and r["n_hit"] == 40 for r in one if r["doc_id"] % 3 == 0) and sum(r["contaminated"] for r in one) == 100
+
+
+def test_a_broadcast_benchmark_is_its_text():
+    import pickle
+
+    rows = [(i, " ".join(R.choices(VOCABULARY, k=150))) for i in range(1500)]
+    size = sum(len(t.encode()) for _, t in rows)
+    assert size > 1_000_000 and len(pickle.dumps(rows)) < 1.1 * size
+    block = decontamination.block_of(rows)
+    assert sum(len(w.hashes) for w in block.windows) == len({tuple(w[k : k + 13]) for w in (t.split(" ") for _, t in rows) for k in range(138)})
+
+
 def test_quality_base_and_scores(spark, docs, rows, none):
     ids = [i for i in range(25)]
     labels = spark.createDataFrame([(i, 1, 0) for i in ids] + [(40, 0, 0), (None, 1, 0), (3, None, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels).collect()
-    want, codes = [], []
+    want = []
     for r in rows:
         w = ws(r[1])
         win = collections.Counter(zip(w, w[1:], w[2:]))
@@ -206,18 +331,24 @@ def test_quality_base_and_scores(spark, docs, rows, none):
         want.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), len(covered), failed))
     assert counted(r[:7] for r in got) == counted(want)
     distinct = sorted({x for r in rows for x in ws(r[1])})
-    hashed = dict(spark.createDataFrame([(x,) for x in distinct], "w string").select("w", F.expr(f"int(pmod(xxhash64(w), {quality.BUCKETS}))")).collect())
-    raw, target = collections.Counter(), collections.Counter()
-    for r in rows:
-        c = [hashed[x] for x in ws(r[1])]
-        codes.append(c)
-        raw.update(c)
-        if r[0] in ids:
-            target.update(c)
-    share = sum(target.values()) / sum(raw.values())
-    ratio = {k: math.log((target[k] + quality.PRIOR) / (n * share + quality.PRIOR)) for k, n in raw.items()}
-    scores = sorted(round(sum(ratio[k] for k in c) / len(c), 6) if c else 0 for c in codes)
-    assert [round(x, 6) for x in sorted(r["score"] for r in got)] == pytest.approx(scores, abs=2e-6)
+    hashed = dict(spark.createDataFrame([(x,) for x in distinct], "w string").selectExpr("w", "xxhash64(w)").collect())
+    pairs = sorted({(hashed[a], hashed[b]) for r in rows for a, b in zip(ws(r[1]), ws(r[1])[1:])})
+    bucket = {(h,): h % quality.BUCKETS for h in hashed.values()}
+    bucket |= {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", f"pmod(xxhash64(a, b), {quality.BUCKETS})").collect()}
+    scores = [0.0] * len(rows)
+    for n in quality.ORDERS:
+        raw, target, codes = collections.Counter(), collections.Counter(), []
+        for r in rows:
+            h = [hashed[x] for x in ws(r[1])]
+            c = [bucket[tuple(h[k : k + n])] for k in range(len(h) - n + 1)]
+            codes.append(c)
+            raw.update(c)
+            if r[0] in ids:
+                target.update(c)
+        share = sum(target.values()) / sum(raw.values())
+        ratio = {k: math.log((target[k] + quality.PRIOR) / (m * share + quality.PRIOR)) for k, m in raw.items()}
+        scores = [x + (sum(ratio[k] for k in c) / len(c) if c else 0) for x, c in zip(scores, codes)]
+    assert [round(x, 6) for x in sorted(r["score"] for r in got)] == pytest.approx(sorted(scores), abs=2e-6)
     for r in got:
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
     kept = quality.keep_good(docs, labels)
@@ -313,6 +444,21 @@ def test_packing_in_many_partitions(spark):
         used[x["sequence_id"]] += x["length"]
     assert max(used.values()) <= 2048
     assert len(used) <= 1.03 * packing.lower_bound(np.array(lengths))
+    sequences, bound = packing.bound_of(packing.pack(items, partition_pieces=200))
+    assert bound == packing.lower_bound(np.array(lengths)) and sequences == len(used)
+
+
+def test_packing_says_how_sequences_ended(spark):
+    big = spark.createDataFrame([(i, 0, 0, 1100, 0) for i in range(900)], packing.PIECES)
+    assert {r["ended"] for r in packing.pack(big, partition_pieces=100).collect()} == {"certified"}
+
+
+def test_equal_pieces_are_dealt_evenly(spark):
+    """3,000 equal rows without doc_id over 15 partitions, of which the first round's ids tell."""
+    items = spark.createDataFrame([(None, 0, 0, 1500, 5)] * 3000, packing.PIECES)
+    got = packing.pack(items, partition_pieces=200).collect()
+    parts = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 3000 and len(parts) == 15 and max(parts.values()) < 300
 
 
 def test_lower_bound_never_exceeds_a_packing():
@@ -354,6 +500,31 @@ def test_secret_owners(spark):
     assert got[10]["spans"] == "" and got[10]["n_assign"] == 0
 
 
+def test_secret_spans_of_the_method(spark):
+    """Planted tokens: where mixed characters come late, within base spans, in many repositories of two owners, in columns that are missing."""
+    r = random.Random(12)
+    late = "q" * 25 + "ghijklmnopqrstuvwxyz" + "Q7" + "klmnopqr"  # first capital and digit at character 46
+    token = lambda: "".join(r.choices("abcdefghij", k=8)) + "".join(r.choices("ABCDEFGHIJ", k=8)) + "".join(r.choices("0123456789", k=8))
+    spread, kept, plain = token(), token(), "onlysmallletterswithoutanydigitsorcapitals"
+    rows = [(1, f"x {late} y", "a", "en"), (2, f'password = "{kept}" and {kept}', "a", "en"), (3, f"{plain} {'0123456789abcdef' * 2}Z{'9' * 10}", "a", "en")]
+    rows += [(10 + i, f"see {spread}", f"o{i % 2}", f"lang{i // 2}") for i in range(6)]
+    rows.append((30, " ".join(f"{token()} token={token()}" for _ in range(300)), None, None))  # many spans in one text
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {x["doc_id"]: x for x in secrets.find(docs).collect()}
+    assert got[1]["spans"] == f"opaque:2:{2 + len(late)}" and got[1]["n_added"] == 1
+    assert got[2]["spans"] == f"assign:0:{12 + len(kept)},opaque:{18 + len(kept)}:{18 + 2 * len(kept)}"
+    assert got[3]["n_hex"] == 1 and got[3]["n_added"] == 0 and "opaque" not in got[3]["spans"]
+    assert got[10]["spans"] == "" and got[10]["n_example"] == 0  # two owners, six repositories
+    text = rows[-1][1]
+    want, at = [], 0
+    for i, x in enumerate(text.split(" ")):
+        want.append(f"{'opaque' if i % 2 == 0 else 'assign'}:{at}:{at + len(x)}")
+        at += len(x) + 1
+    assert got[30]["spans"] == ",".join(want) and got[30]["n_assign"] == 300 and got[30]["n_added"] == 300
+    bare = {x["doc_id"]: x["spans"] for x in secrets.find(docs.select("doc_id", "text")).collect()}
+    assert bare[1] == got[1]["spans"] and bare[10] == f"opaque:4:{4 + len(spread)}"
+
+
 def test_licenses(docs, none):
     got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(docs).collect()}
     found = {}
@@ -393,31 +564,40 @@ def test_versions_of_licenses(spark):
     assert dict(got) == {i: want[x] for i, x in enumerate(texts)}
 
 
+def windows_of(lines, most=50):
+    """(first line, its lines, whether one of three lines or a whole document) of every window of a document's lines."""
+    out = [(a, lines[a : a + 3], True) for a in range(len(lines) - 2)]
+    if 0 < len(lines) < 3:
+        out.append((0, lines, True))
+    for size in (1, 2):
+        out += [(a, lines[a : a + size], False) for a in range(len(lines) - size + 1) if sum(len(ws(x)) for _, x in lines[a : a + size]) > most and size < len(lines)]
+    return sorted(out, key=lambda x: x[0])
+
+
 def test_line_dedup(docs, rows, none):
-    seen, gone = {}, collections.defaultdict(set)
+    seen, gone, three = set(), collections.defaultdict(set), collections.defaultdict(set)
     unique = sorted({(r[0] is not None, r[0] or 0, r[1] or "", r[1] is None) for r in rows})
     for known, i, t, null in unique:
         lines = [(p, x) for p, x in enumerate(t.split("\n")) if ws(x)] if not null else []
-        for a in range(len(lines)):
-            run = lines[a : a + 1]
-            while sum(len(ws(x)) for _, x in run) <= 50 and len(run) < 3 and a + len(run) < len(lines):
-                run.append(lines[a + len(run)])
-            whole = len(run) == 3 or sum(len(ws(x)) for _, x in run) > 50
-            if whole or a == 0:
-                key = tuple(x for _, x in run)
-                if key in seen:
-                    gone[known, i, t].update(p for p, _ in run)
-                seen.setdefault(key, True)
+        for _, run, is_three in windows_of(lines):
+            key = tuple(x for _, x in run)
+            if key in seen:
+                gone[known, i, t].update(p for p, _ in run)
+                if is_three:
+                    three[known, i, t].update(p for p, _ in run)
+            seen.add(key)
     want = []
     for r in rows:
         g = gone[r[0] is not None, r[0] or 0, r[1] or ""] if r[1] is not None else set()
         kept = None if r[1] is None else "\n".join(x for p, x in enumerate(r[1].split("\n")) if p not in g)
-        want.append((r[0], sum(bool(ws(x)) for x in (r[1] or "").split("\n")), len(g), None if kept is None else sha(kept)))
+        want.append((r[0], sum(bool(ws(x)) for x in (r[1] or "").split("\n")), len(g), len(three[r[0] is not None, r[0] or 0, r[1] or ""]) if g else 0, None if kept is None else sha(kept)))
     assert counted(line_dedup.report(docs).collect()) == counted(want)
     assert sum(len(x) for x in gone.values()) > 10
     left = line_dedup.remove_repeats(docs)
     assert left.columns == docs.columns and left.count() < len(rows)
     assert line_dedup.report(none).count() == 0
+    by_three = {r["doc_id"]: r["n_removed"] for r in line_dedup.report(docs, words=None).collect()}
+    assert sum(by_three.values()) <= sum(len(x) for x in gone.values()) and sum(by_three.values()) > 0
 
 
 @pytest.mark.parametrize("sizes", [(60, 10, 10), (30, 25, 5), (60, 60, 4, 4), (3, 60, 3)])

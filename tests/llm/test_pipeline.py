@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tracewright.llm import quality
 
-from .test_operators import ITEMS, LINES, alnum, prose, shingle_set, texts, words, ws
+from .test_operators import ITEMS, LINES, alnum, prose, shingle_set, texts, windows_of, words, ws
 
 
 @pytest.fixture(scope="module")
@@ -42,15 +42,11 @@ def test_stages(spark, sf_dir, tmp_path):
     for i, t in sorted({(r["doc_id"], r["text"]) for r in good.collect()}):
         own = [(p, x) for p, x in enumerate(t.split("\n")) if ws(x)]
         gone = set()
-        for a in range(len(own)):
-            run = own[a : a + 1]
-            while sum(len(ws(x)) for _, x in run) <= 50 and len(run) < 3 and a + len(run) < len(own):
-                run.append(own[a + len(run)])
-            if len(run) == 3 or sum(len(ws(x)) for _, x in run) > 50 or a == 0:
-                key = tuple(x for _, x in run)
-                if key in seen:
-                    gone.update(p for p, _ in run)
-                seen.add(key)
+        for _, run, _ in windows_of(own):
+            key = tuple(x for _, x in run)
+            if key in seen:
+                gone.update(p for p, _ in run)
+            seen.add(key)
         left = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
         if ws(left):
             want[i] = left

@@ -1,15 +1,19 @@
 """Best-fit packing of token sequences, certified by dual-feasible functions.
 
-Pieces of documents are dealt over partitions of bounded size and packed there
-by best-fit decreasing.  A lower bound on a partition's bins from dual-feasible
-functions certifies a partition whose bin count meets it.  Partitions with a
-gap keep their full bins, exchange the pieces of the others and pack them
-again, in ever fewer partitions, until all are certified, nothing changes
-or one partition is left.
+Pieces of documents are dealt over partitions of bounded size, by a number of
+their own, so that equal documents don't meet, and packed there by best-fit
+decreasing.  A lower bound on a partition's bins from dual-feasible functions
+certifies a partition whose bin count meets it.  Partitions with a gap keep
+their full bins, exchange the pieces of the others and pack them again, in ever
+fewer partitions, until all are certified, a round saves no bin or one partition
+is left.  Each sequence says how it ended: certified by its partition's bound,
+full, or neither.
 
 Defined cases: a null text is empty and gives one piece, the separator; only a
-document longer than a sequence is cut; repeated documents are packed each by
-itself, and so are rows without doc_id; an empty table packs to no rows.
+document longer than a sequence is cut, however long it is; repeated documents
+are packed each by itself, and so are rows without doc_id; of pieces of equal
+length any may come first; an empty table packs to no rows; other columns of
+documents don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from ..storage import dropped, written
+from ..storage import written
 from .tokens import tokenizer_of, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces that one task packs, about.
 PARTITION_PIECES = 40_000
-ROUNDS = 6
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,9 +94,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     is whole; f_a counts pieces over capacity - a as whole, drops those under a
     and leaves the others.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return lower_bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def lower_bound_of(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """lower_bound() of count[n] pieces of length n."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     for k in range(1, 21):
@@ -114,31 +119,42 @@ def _pack(capacity: int):
         lengths = pdf["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         used = np.bincount(bins, weights=lengths).astype(np.int64)
-        gap = len(used) > lower_bound(lengths, capacity)
-        part = int(pdf["part"].iloc[0])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "start": pdf["start"], "length": lengths, "ids_crc32": pdf["ids_crc32"], "sequence_id": part * (1 << 32) + bins, "offset": offsets, "again": gap & (used[bins] < capacity)})
+        certified = len(used) <= lower_bound(lengths, capacity)
+        full = used[bins] == capacity
+        ended = np.where(certified, "certified", np.where(full, "full", "open"))
+        return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), sequence_id=int(pdf["part"].iloc[0]) * (1 << 32) + bins, offset=offsets, ended=ended).drop(columns="part")
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces with sequence_id and offset; items has the columns of pieces()."""
-    schema = PIECES + ", sequence_id long, offset long, again boolean"
-    todo = written(items, "pieces")
+def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+    """The pieces with sequence_id, offset and ended (certified, full or open); items has the columns of pieces()."""
+    schema = PIECES + ", row long, sequence_id long, offset long, ended string"
+    todo = written(items.withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = todo.count()
     done: DataFrame | None = None
-    number, before = 0, None
-    for turn in range(rounds):
+    turn = number = 0
+    before = None
+    while True:
         parts = max(1, -(-n // partition_pieces))
-        number += 1 << 20  # sequence ids of each round are others
-        dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)) + F.lit(number)
+        dealt = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)) + F.lit(number)
+        number += parts  # sequence ids of each round are others
         packed = written(todo.withColumn("part", dealt).groupBy("part").applyInPandas(_pack(capacity), schema), f"packed-{turn}")
-        again = packed.where("again")
+        again = packed.where("ended = 'open'")
         n, bins = again.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        last = parts == 1 or turn == rounds - 1 or not n or bins == before
-        kept = packed if last else packed.where("not again")
+        last = parts == 1 or not n or before is not None and bins >= before
+        kept = packed if last else packed.where("ended <> 'open'")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        before, todo = bins, again.select(*todo.columns)
-    return done.drop("again")
+        before, turn, todo = bins, turn + 1, again.select(*todo.columns)
+    return done.drop("row")
+
+
+def bound_of(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences there are, and how many the bound proves that any packing of all pieces needs: from the counts of lengths alone."""
+    rows = packed.groupBy("length").agg(F.count("*")).collect()  # capacity rows at most
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in rows:
+        count[length] = n
+    return packed.where("offset = 0").count(), lower_bound_of(count, capacity)

@@ -1,14 +1,18 @@
 """Personal data by fixed patterns and a character model.
 
 The model is a bidirectional LSTM over character classes with a CRF on top,
-written and trained in numpy on labelled spans of invented text (a seeded
-generator, so that each process trains the same weights once, whatever the
-corpus).  A text is cut into overlapping windows; each is decoded by Viterbi,
-and the text's tags are put together from every window's middle part, so that
-spans run on across windows.  Windows without a digit or @ can't hold a span
-and are not decoded.  Spans of the model are added where they overlap no span
-of the patterns and pass the same tests (Luhn, parts of an address, digits of a
-phone number, an @).
+written and trained in numpy on labelled spans: invented ones, set in invented
+text and in the prose of license texts by a seeded generator.  Its weights are
+kept beside this module; `python -m tracewright.llm.pii` trains them anew.
+
+A text is cut into overlapping windows.  Each is decoded by itself into the
+probabilities of its characters' tags, forward and backward.  Where windows
+overlap, their probabilities are averaged, those from a window's middle weighing
+more, and one Viterbi pass over all adjoining windows, however many, finds the
+best tags, so that every span is decided once and by all that saw it.  Windows
+without a digit or @ near can't hold a span and are not decoded.  Spans of the
+model are added where they overlap no span of the patterns and pass the same
+tests (Luhn, parts of an address, digits of a phone number, an @).
 
 Defined cases: a null or empty text has no spans; a very long text is decoded
 in blocks of windows; repeated documents and rows without doc_id are judged
@@ -21,6 +25,7 @@ import functools
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +119,7 @@ def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     w["out"] = rng.normal(0, 0.2, (2 * HIDDEN, TAGS))
     w["bias"] = np.zeros(TAGS)
     w["move"] = np.zeros((TAGS, TAGS))
+    w["start"], w["end"] = np.zeros(TAGS), np.zeros(TAGS)
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
@@ -147,7 +153,10 @@ def emissions(w: dict, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
     both = np.concatenate(sides, 2)
     if keep is not None:
         keep["both"] = both
-    return both @ w["out"] + w["bias"]
+    e = both @ w["out"] + w["bias"]
+    e[0] += w["start"]
+    e[-1] += w["end"]
+    return e
 
 
 def _back(w: dict, side: str, x: np.ndarray, steps: list, dh_all: np.ndarray, grad: dict) -> None:
@@ -189,29 +198,51 @@ def loss(w: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.nda
     np.put_along_axis(marginal, gold[:, :, None], np.take_along_axis(marginal, gold[:, :, None], 2) - 1, 2)
     np.subtract.at(d_move, (gold[:-1].ravel(), gold[1:].ravel()), 1)
     marginal /= n
-    grad = {"move": d_move / n, "bias": marginal.sum((0, 1)), "out": keep["both"].reshape(time * n, -1).T @ marginal.reshape(time * n, -1)}
+    grad = {"move": d_move / n, "bias": marginal.sum((0, 1)), "start": marginal[0].sum(0), "end": marginal[-1].sum(0), "out": keep["both"].reshape(time * n, -1).T @ marginal.reshape(time * n, -1)}
     d_both = marginal @ w["out"].T
     _back(w, "f", x, keep["f"], d_both[:, :, :HIDDEN], grad)
     _back(w, "b", x, keep["b"], d_both[:, :, HIDDEN:], grad)
     return float((np.log(scale).sum() + top.sum() - right) / n), grad
 
 
-def viterbi(w: dict, x: np.ndarray) -> np.ndarray:
-    """The best tags (batch, time); a span's further characters follow only its first or further ones."""
-    e = emissions(w, x)
-    move = w["move"].copy()
+def allowed() -> np.ndarray:
+    """Scores of moves: a span's further characters follow only its first or further ones."""
+    move = np.zeros((TAGS, TAGS), np.float32)
     for k in range(len(KINDS)):
         for before in range(TAGS):
             if before not in (2 * k + 1, 2 * k + 2):
                 move[before, 2 * k + 2] = -1e4
-    time, n, _ = e.shape
-    score, came = e[0], np.empty((time, n, TAGS), np.int8)
+    return move
+
+
+def probabilities(w: dict, x: np.ndarray) -> np.ndarray:
+    """The probability of each tag of each character (time, batch, tag) under the CRF."""
+    e = emissions(w, x)
+    p, move = np.exp(e - e.max(2, keepdims=True)), np.exp(w["move"] + allowed())
+    a, b = np.empty_like(p), np.empty_like(p)
+    a[0] = p[0] / p[0].sum(1, keepdims=True)
+    for t in range(1, len(p)):
+        a[t] = a[t - 1] @ move * p[t]
+        a[t] /= a[t].sum(1, keepdims=True)
+    b[-1] = 1
+    for t in range(len(p) - 1, 0, -1):
+        b[t - 1] = (b[t] * p[t]) @ move.T
+        b[t - 1] /= b[t - 1].max(1, keepdims=True)
+    out = a * b
+    return out / out.sum(2, keepdims=True)
+
+
+def best_tags(score: np.ndarray) -> np.ndarray:
+    """The tags (batch, time) of the greatest sum of scores (time, batch, tag) among those that moves allow."""
+    time, n, _ = score.shape
+    move = allowed()
+    total, came = score[0].copy(), np.empty((time, n, TAGS), np.int8)
     for t in range(1, time):
-        s = score[:, :, None] + move
+        s = total[:, :, None] + move
         came[t] = s.argmax(1)
-        score = np.take_along_axis(s, came[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
+        total = np.take_along_axis(s, came[t][:, None, :].astype(np.int64), 1)[:, 0] + score[t]
     tags = np.empty((n, time), np.int8)
-    tags[:, -1] = score.argmax(1)
+    tags[:, -1] = total.argmax(1)
     for t in range(time - 1, 0, -1):
         tags[:, t - 1] = came[t][np.arange(n), tags[:, t]]
     return tags
@@ -223,9 +254,10 @@ def viterbi(w: dict, x: np.ndarray) -> np.ndarray:
 class Generator:
     """Invented text with labelled spans and with numbers that are nobody's."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, prose: str = ""):
         self.rng = random.Random(seed)
         self.pick = self.rng.choice
+        self.prose = prose.split()
 
     def number(self, n: int) -> str:
         return "".join(self.rng.choices("0123456789", k=n))
@@ -266,6 +298,7 @@ class Generator:
 
     def window(self, length: int) -> tuple[str, list[int]]:
         text, tags = "", []
+        at = self.rng.randrange(len(self.prose)) if self.prose and self.rng.random() < 0.5 else None
         while len(text) < 3 * length:
             roll = self.rng.random()
             if roll < 0.16:
@@ -273,7 +306,8 @@ class Generator:
                 piece = getattr(self, KINDS[kind])()
                 own = [2 * kind + 1] + [2 * kind + 2] * (len(piece) - 1)
             else:
-                piece = self.other() if roll < 0.3 else self.word()
+                piece = self.other() if roll < 0.3 else self.word() if at is None else self.prose[at % len(self.prose)]
+                at = at if at is None else at + 1
                 own = [0] * len(piece)
             after = self.pick([" ", " ", " ", " ", ", ", ". ", "\n", "### ", '" ', "!! ", " | "])
             text, tags = text + piece + after, tags + own + [0] * len(after)
@@ -287,13 +321,17 @@ def classes(text: str) -> np.ndarray:
 
 
 #: Windows and steps of the training; the labelled rows are bounded by their product.
-TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS = 56, 48, 350
+TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS = 56, 48, 1500
+WEIGHTS = Path(__file__).parent / "pii_weights.npz"
+
 
+def prose() -> str:
+    return "\n".join(p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
-@functools.lru_cache(maxsize=2)
-def trained(seed: int = 7, steps: int = TRAIN_STEPS) -> dict[str, np.ndarray]:
-    """The model's weights, by Adam on invented labelled windows."""
-    made = Generator(seed)
+
+def fit(seed: int = 7, steps: int = TRAIN_STEPS) -> dict[str, np.ndarray]:
+    """The model's weights, by Adam on labelled windows."""
+    made = Generator(seed, prose())
     w = init(np.random.default_rng(seed))
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
@@ -312,44 +350,85 @@ def trained(seed: int = 7, steps: int = TRAIN_STEPS) -> dict[str, np.ndarray]:
     return w
 
 
-#: Windows decoded at once.
-DECODE = 2048
+@functools.lru_cache(maxsize=1)
+def trained() -> dict[str, np.ndarray]:
+    """The weights that fit() gave."""
+    with np.load(WEIGHTS) as kept:
+        return dict(kept)
 
 
-def model_tags(w: dict, texts: list[str]) -> list[np.ndarray]:
-    """The model's tags for every character of each text."""
-    out = [np.zeros(len(t), np.int8) for t in texts]
-    todo: list[tuple[int, int]] = []
-    known = [classes(t) for t in texts]
+#: Windows decoded at once, and characters of adjoining windows.
+DECODE, DECODE_CHARACTERS = 2048, 1 << 19
+
+#: How much a window says about its characters: most in its middle.
+_SAYS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+
+
+def _regions(known: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(text, first window, last window) of adjoining windows with something to decode; window k sees WINDOW characters from k * STRIDE - MARGIN."""
     anchor = np.zeros(N_CLASSES, bool)
     anchor[[_CLASS_OF[ord(c)] for c in "@01"]] = True
+    out = []
     for i, x in enumerate(known):
         at = np.flatnonzero(anchor[x])
         if len(at):
-            # window k decides characters k * STRIDE to (k + 1) * STRIDE and sees MARGIN more on both sides
             near = np.unique(np.concatenate([np.maximum(at - MARGIN, 0) // STRIDE, at // STRIDE, np.minimum(at + MARGIN, len(x) - 1) // STRIDE]))
-            todo += [(i, k) for k in near.tolist()]
-    for a in range(0, len(todo), DECODE):
-        part = todo[a : a + DECODE]
+            cut = np.flatnonzero(np.diff(near) > 1) + 1
+            out += [(i, int(part[0]), int(part[-1])) for part in np.split(near, cut)]
+    return out
+
+
+def _seen(w: dict, known: list[np.ndarray], regions: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """The averaged probabilities of each region's characters (character, tag), from its first window's first place to its last window's end."""
+    todo = [(r, k) for r, (_, a, b) in enumerate(regions) for k in range(a, b + 1)]
+    total = [np.zeros(((b - a) * STRIDE + WINDOW, TAGS), np.float32) for _, a, b in regions]
+    weight = [np.zeros(((b - a) * STRIDE + WINDOW, 1), np.float32) for _, a, b in regions]
+    for at in range(0, len(todo), DECODE):
+        part = todo[at : at + DECODE]
         x = np.full((len(part), WINDOW), NOTHING)
-        for r, (i, k) in enumerate(part):
+        for j, (r, k) in enumerate(part):
             low = k * STRIDE - MARGIN
-            own = known[i][max(low, 0) : low + WINDOW]
-            x[r, max(-low, 0) : max(-low, 0) + len(own)] = own
-        tags = viterbi(w, x)
-        for r, (i, k) in enumerate(part):
-            to = min(STRIDE, len(known[i]) - k * STRIDE)
-            out[i][k * STRIDE : k * STRIDE + to] = tags[r, MARGIN : MARGIN + to]
+            own = known[regions[r][0]][max(low, 0) : low + WINDOW]
+            x[j, max(-low, 0) : max(-low, 0) + len(own)] = own
+        p = probabilities(w, x)
+        for j, (r, k) in enumerate(part):
+            low = (k - regions[r][1]) * STRIDE
+            total[r][low : low + WINDOW] += _SAYS[:, None] * p[:, j]
+            weight[r][low : low + WINDOW] += _SAYS[:, None]
+    return [t / n for t, n in zip(total, weight)]
+
+
+def model_tags(w: dict, texts: list[str]) -> list[np.ndarray]:
+    """The model's tags for every character of each text."""
+    out = [np.zeros(len(t), np.int8) for t in texts]
+    known = [classes(t) for t in texts]
+    regions = sorted(_regions(known), key=lambda r: r[2] - r[1])
+    while regions:
+        # regions of like length, together of bounded size
+        n, longest = 0, 0
+        while n < len(regions):
+            longest = (regions[n][2] - regions[n][1]) * STRIDE + WINDOW
+            if n and (n + 1) * longest > DECODE_CHARACTERS:
+                break
+            n += 1
+        part, regions = regions[:n], regions[n:]
+        seen = _seen(w, known, part)
+        score = np.full((max(map(len, seen)), len(part), TAGS), -20, np.float32)
+        score[:, :, 0] = 0
+        for j, p in enumerate(seen):
+            score[: len(p), j] = np.log(p + 1e-9)
+        for (i, a, _), tags, p in zip(part, best_tags(score), seen):
+            low = a * STRIDE - MARGIN
+            own = tags[max(-low, 0) : min(len(p), len(out[i]) - low)]
+            out[i][max(low, 0) : max(low, 0) + len(own)] = own
     return out
 
 
 def tag_spans(tags: np.ndarray) -> list[Span]:
-    """Runs of one kind's tags; a first character's tag begins another span, unless windows disagreed on it (no gap, same kind, where windows meet)."""
+    """Runs of one kind's tags; a first character's tag begins another span."""
     kind = (tags.astype(np.int64) + 1) // 2
     begin = np.ones(len(tags), bool)
     begin[1:] = (kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1)
-    meet = np.arange(STRIDE, len(tags), STRIDE)
-    begin[meet] = kind[meet] != kind[meet - 1]
     starts = np.flatnonzero(begin)
     ends = np.append(starts[1:], len(tags))
     return [(int(kind[s]) - 1, int(s), int(e)) for s, e in zip(starts, ends) if kind[s]]
@@ -379,14 +458,14 @@ def _text_of(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_model long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_model long"
 
 _HAS = textops._byte_class((0x30, 0x39), (0x40, 0x40))
 
 
-def find(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Counts, digest and spans for every document, in RESULT's columns."""
-    weights = trained(seed)
+def find(docs: DataFrame) -> DataFrame:
+    """Counts, digest and spans for every document, in RESULT's columns; n_spans counts all spans, n_model those that the model added."""
+    weights = trained()
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
@@ -395,15 +474,19 @@ def find(docs: DataFrame, seed: int = 7) -> DataFrame:
                 has = np.add.reduceat(np.append(_HAS[part.data], False), part.offsets[:-1]).astype(bool) & (np.diff(part.offsets) > 0) if len(part.data) else np.zeros(len(part), bool)
                 at = np.flatnonzero(has).tolist()
                 found = all_spans(weights, [part.bytes_of(i).decode() for i in at])
-                counts = np.zeros((len(part), len(KINDS) + 1), np.int64)
+                counts = np.zeros((len(part), len(KINDS) + 2), np.int64)
                 digest, spans = [nothing] * len(part), [""] * len(part)
                 for i, (base, more) in zip(at, found):
                     for kind, _, _ in base:
                         counts[i, kind] += 1
-                    counts[i, -1] = len(more)
+                    counts[i, -2:] = len(base) + len(more), len(more)
                     digest[i] = hashlib.sha256(_text_of(base).encode()).hexdigest()
                     spans[i] = _text_of(base + more)
                 ids = batch.column("doc_id").slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digest), pa.array(spans), pa.array(counts[:, -1])], [x.split()[0] for x in RESULT.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digest), pa.array(spans), pa.array(counts[:, -2]), pa.array(counts[:, -1])], [x.split()[0] for x in RESULT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **fit())

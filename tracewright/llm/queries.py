@@ -47,7 +47,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_table(spark, sf_dir, "documents"), shortest=True)  # the rule of its SQL
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,19 +82,21 @@ ORACLE: dict[str, str] = {
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)""",
     "op9_line_dedup": r"""
         WITH l AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, count(*) OVER (PARTITION BY doc_id) AS n,
-                          len(regexp_extract_all(line, '[^ 	-]+')) AS w
+                          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
                    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM documents)
-                   WHERE regexp_matches(line, '[^ 	-]')),
+                   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
         x AS (SELECT *, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3, lead(w, 1) OVER o AS w2 FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-        win AS (SELECT doc_id, k, CASE WHEN w > 50 THEN 1 WHEN k + 1 <= n AND w + w2 > 50 THEN 2 WHEN k + 2 <= n THEN 3 WHEN k = 1 THEN n END AS m, line, l2, l3 FROM x),
-        keyed AS (SELECT doc_id, k, m, [line, CASE WHEN m > 1 THEN l2 END, CASE WHEN m > 2 THEN l3 END] AS key FROM win WHERE m IS NOT NULL),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, k) AS r FROM keyed),
-        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS k FROM ranked WHERE r > 1),
-        per AS (SELECT doc_id, count(*) AS n_lines, count(g.k) AS n_removed FROM l LEFT JOIN gone g USING (doc_id, k) GROUP BY doc_id),
+        win AS (SELECT doc_id, k, 3 AS m, true AS three, [line, l2, l3] AS key FROM x WHERE k + 2 <= n
+                UNION ALL SELECT doc_id, k, n, true, [line, CASE WHEN n = 2 THEN l2 END, NULL] FROM x WHERE k = 1 AND n < 3
+                UNION ALL SELECT doc_id, k, 1, false, [line, NULL, NULL] FROM x WHERE w > 50 AND n > 1
+                UNION ALL SELECT doc_id, k, 2, false, [line, l2, NULL] FROM x WHERE k + 1 <= n AND w + w2 > 50 AND n > 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, k) AS r FROM win),
+        gone AS (SELECT doc_id, k, bool_or(three) AS three FROM (SELECT doc_id, unnest(range(k, k + m)) AS k, three FROM ranked WHERE r > 1) GROUP BY 1, 2),
+        per AS (SELECT doc_id, count(*) AS n_lines, count(g.k) AS n_removed, count(*) FILTER (three) AS n_three FROM l LEFT JOIN gone g USING (doc_id, k) GROUP BY doc_id),
         every AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS p FROM documents),
         stay AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.p) AS kept FROM every e
                  WHERE NOT EXISTS (SELECT 1 FROM l JOIN gone USING (doc_id, k) WHERE l.doc_id = e.doc_id AND l.p = e.p) GROUP BY e.doc_id)
-        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_three, 0) AS BIGINT) AS n_removed_three,
                CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS text_sha256
         FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN stay USING (doc_id)""",
 }
