@@ -140,7 +140,7 @@ def test_literal_mode_changes_nothing(spark):
     out = repaired(logs.generated(spark, 10), Params(mode="literal")).collect()
     assert all(r["refined_activity"] == r["Activity"] and r["cluster_id"] == 0 and r["verdict"] == "merge" for r in out)
     c = clustering.Clusters(Params(mode="literal"))
-    assert {c.add([0.0, 1.0, r / 9], "x")[0::3] for r in range(9)} == {(0, "merge")}
+    assert {c.add([0.0, 1.0, r / 9], "x")[0:4:3] for r in range(9)} == {(0, "merge")}
 
 
 def test_repair_finds_the_two_meanings(spark):
@@ -172,6 +172,171 @@ def test_adaptive_bins_fold():
     assert len(bins.edges) <= n and sum(bins.counts.values()) == sum(counts.values())
 
 
+def test_split_bin():
+    """The median of the fullest bin becomes an edge, counts are halved, and the next split waits."""
+    bins = binning.AdaptiveBins(Binning(window=400, split_cooldown=50))
+    r = random.Random(3)
+    for _ in range(300):
+        bins.update(r.uniform(0.5, 0.55))
+    b = max(bins.counts, key=bins.counts.get)
+    n, edges = bins.counts[b], list(bins.edges)
+    assert bins.split(b) and len(bins.edges) == len(edges) + 1
+    assert bins.edges[b + 1] == pytest.approx(np.median([v for v in bins.window if edges[b] <= v < edges[b + 1]]))
+    assert bins.counts[b] + bins.counts[b + 1] == n and abs(bins.counts[b] - bins.counts[b + 1]) <= 1
+    assert not bins.split(b)
+    for _ in range(50):
+        bins.update(0.52)
+    assert bins.split(max(bins.counts, key=bins.counts.get))
+
+
+def folded_by_hand(rows, begin, step):
+    state, out = {}, {}
+    for key, seq, value in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if key not in state:
+            state[key] = begin()
+        out[key, seq] = step(state[key], value)
+    return out
+
+
+def test_folds_take_several_batches(spark):
+    """Batches of 64 rows: state goes on from one to the next, and begins anew with each key, a null among them."""
+    from tracewright.operators.folds import fold
+
+    r = random.Random(7)
+    rows = [(k, i, float(r.randrange(100))) for i, k in enumerate(r.choices(["a", "b", None, "c"], weights=[500, 60, 30, 1], k=700))]
+    df = spark.createDataFrame(rows, "k string, seq long, v double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        def step(state, pdf):
+            out = []
+            for v in pdf["v"]:
+                state.append(v)
+                out.append(sum(state))
+            return pdf[["k", "seq"]].assign(total=out)
+
+        got = {(x["k"], x["seq"]): x["total"] for x in fold(df, "k", "seq", lambda _: [], step, "k string, seq long, total double").collect()}
+
+        def add(state, v):
+            state.append(v)
+            return sum(state)
+
+        assert got == folded_by_hand(rows, list, add)
+        log = context.sequenced(logs.generated(spark, 40))
+        vectors = with_vector(with_calendar(log)).select("seq", "Activity", "vector")
+        labels = {x["seq"]: (x["cluster_id"], x["refined_activity"], x["step"]) for x in clustering.refine(vectors).collect()}
+        states = {}
+        for x in vectors.orderBy("seq").collect():
+            got = states.setdefault(x["Activity"], clustering.Clusters()).add(x["vector"], x["Activity"])
+            assert labels[x["seq"]] == (got[0], got[4], got[6])
+        binned = {(x["feature"], x["seq"]): (x["bin"], x["drifted"]) for x in binning.adaptive_bins(log, ("ProcessingTime", "FileSize")).collect()}
+        for c in ("ProcessingTime", "FileSize"):
+            bins = binning.AdaptiveBins()
+            assert all(binned[c, x["seq"]] == bins.update(float(x[c])) for x in log.orderBy("seq").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bins_on_the_log_and_edges(spark):
+    log = context.sequenced(logs.generated(spark, 120))
+    wide = binning.with_bins(log, ("ProcessingTime", "FileSize"))
+    assert wide.columns == [*log.columns, "ProcessingTime_bin", "FileSize_bin"] and wide.count() == log.count()
+    long = {(x["feature"], x["seq"]): x["bin"] for x in binning.adaptive_bins(log, ("ProcessingTime", "FileSize")).collect()}
+    assert all(long["ProcessingTime", x["seq"]] == x["ProcessingTime_bin"] and long["FileSize", x["seq"]] == x["FileSize_bin"] for x in wide.collect())
+    edges = {}
+    for x in binning.maintained_edges(log, ("ProcessingTime",), Binning(split_cooldown=100)).orderBy("pos").collect():
+        edges.setdefault(x["feature"], []).append(x["edge"])
+    assert edges["ProcessingTime"] == sorted(edges["ProcessingTime"]) and len(edges["ProcessingTime"]) >= 2
+
+
+def test_drift_weights(spark):
+    from tracewright.operators import drift
+
+    r = random.Random(5)
+    xs = [r.random() + 3 * (i > 300) for i in range(700)]
+    got = drift.drift_weights(spark.createDataFrame([("f", i, x) for i, x in enumerate(xs)], "feature string, seq long, value double")).orderBy("seq").collect()
+    detector, w, changes = Adwin(0.02), 1.0, 0
+    for x, row in zip(xs, got):
+        hit = detector.update(x)
+        w = min(2.0, w * 1.1) if hit else max(0.5, w * 0.9)
+        changes += hit
+        assert row["changed"] == hit and row["weight"] == pytest.approx(w)
+    assert changes
+
+
+def test_similar_groups(spark):
+    sim = [[1, .9, .85, .1, .3], [.9, 1, .1, .2, .3], [.85, .1, 1, .2, .3], [.1, .2, .2, 1, .95], [.3, .3, .3, .95, 1]]
+    rows = [("g", i, j, float(sim[i][j])) for i in range(5) for j in range(i, 5)]
+    got = similarity.similar_groups(spark.createDataFrame(rows, "grp string, i long, j long, sim double"), "grp")
+    assert {(x["number"], x["member"]) for x in got.collect()} == {(0, 0), (0, 1), (1, 3), (1, 4)}
+
+
+def test_pairs_of_a_large_group_meet_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    df = spark.createDataFrame([("g" if i < 30 else "h", i, [float(i)]) for i in range(33)], "grp string, k long, vector array<double>")
+    got = sorted((x["grp"], x["i"], x["j"]) for x in similarity.pairs(df, "grp", "k").collect())
+    assert got == sorted([("g", i, j) for i in range(30) for j in range(i, 30)] + [("h", i, j) for i in range(30, 33) for j in range(i, 33)])
+
+
+def test_two_level_numbers_and_ranks(spark):
+    rows = [(f"{i:04d}", "c", None if i % 5 == 0 else "AB"[i % 2], (i * 37) % 400, "u") for i in range(300)]
+    log = log_of(spark, rows)
+    got = {x["EventID"]: x["k"] for x in context.numbered(log, ["Activity"], "k").collect()}
+    count = {}
+    for e, _, a, m, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        count[a] = count.get(a, 0) + 1
+        assert got[e] == count[a]
+    values_ = [f"v{(i * 7919) % 1000:03d}" for i in range(1000)]
+    ranks = {x["value"]: x["code"] for x in context.ranked(spark.createDataFrame([(v,) for v in set(values_)], "value string"), "value", "code").collect()}
+    assert ranks == {v: i for i, v in enumerate(sorted(set(values_)))}
+
+
+def test_missing_label_is_an_error(spark):
+    log = log_of(spark, [("1", "a", "A", 0, "u"), ("2", "a", None, 1, "u")])
+    assert logs.with_label(log.where("EventID = '1'")).count() == 1
+    with pytest.raises(Exception, match="no activity label in event 2"):
+        logs.with_label(log).collect()
+
+
+def test_written_columns_and_times(spark, tmp_path):
+    from tracewright.plans.repair import output, output_columns
+
+    log = logs.generated(spark, 5).drop("true_label")
+    out = output(repaired(log), log)
+    assert out.columns == output_columns(log) and len(out.columns) == 18 and out.columns[-1] == "refined_activity"
+    logs.write_csv(out, str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == out.columns and {len(x["Timestamp"]) for x in back.collect()} <= {19, 26}
+
+
+def test_sinks_go_on_after_a_restart(spark, tmp_path):
+    """Two runs over a growing source and one checkpoint write what one run over all of it would, in CSV and JSON."""
+    from tracewright.streaming import sinks, topology
+
+    log = logs.generated(spark, 30).drop("true_label")
+    rows = with_vector(log)
+    middle = rows.approxQuantile("ProcessingTime", [0.5], 0)[0]
+    end = rows.orderBy(F.desc("Timestamp")).limit(1).withColumns({"EventID": F.lit("end"), "CaseID": F.lit("end"), "Activity": F.lit("end"), "Timestamp": F.expr("Timestamp + interval 9 days")})
+    half = rows.orderBy("Timestamp").limit(rows.count() // 2)
+    assert middle is not None
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        sinks.save_refined(topology.refined_stream(topology.arrivals(stream, "40 days")), str(tmp_path / "rows"), str(tmp_path / "audit"), str(tmp_path / "c")).awaitTermination()
+
+    half.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    rest = rows.join(half.select("EventID"), "EventID", "left_anti").select(*rows.columns)
+    rest.unionByName(end.withColumn("Timestamp", F.expr("Timestamp + interval 60 days"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = spark.read.option("header", True).option("recursiveFileLookup", True).csv(str(tmp_path / "rows")).collect()
+    batch = clustering.refine(context.sequenced(rows).select("seq", "Activity", "vector"))
+    ids = context.sequenced(log).select("seq", "EventID")
+    want = {(r["EventID"], str(r["cluster_id"]), r["refined_activity"]) for r in batch.join(ids, "seq").collect()}
+    assert len(got) == len(want) and {(r["EventID"], r["cluster_id"], r["refined_activity"]) for r in got} == want
+    trail = spark.read.option("recursiveFileLookup", True).json(str(tmp_path / "audit"))
+    assert trail.count() and {r["action"] for r in trail.select("action").distinct().collect()} <= {"cluster_create", "split_decision", "merge_decision"}
+
+
 def test_adwin_on_a_steady_stream():
     r = random.Random(2)
     steady = Adwin(0.002)
@@ -232,8 +397,8 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r["EventID"], r["cluster_id"], r["refined_activity"]) for r in batch.join(ids, "seq").collect()}
 
 
-def test_thresholds():
-    assert similarity.adjusted_thresholds(0.1, 0.15, 0.8) == (0.6, pytest.approx(0.85))
-    assert similarity.adjusted_thresholds(0.3, 0.15, 0.8) == (pytest.approx(0.2), pytest.approx(0.75))
-    assert scoring.adjusted_weight(1.9, True) == 2.0 and scoring.adjusted_weight(0.5, False) == 0.5
+def test_thresholds(spark):
+    split, merge = similarity.adjusted_thresholds(F.col("x"), 0.15, 0.8)
+    rows = values(spark, [0.1, 0.3]).select("i", split.alias("s"), merge.alias("m"))
+    assert column(rows, "s") == pytest.approx([0.6, 0.2]) and column(rows, "m") == pytest.approx([0.85, 0.75])
     assert Clustering().normaliser == "diagonal"

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults of Decay, Binning, Clustering and Scoring, which results depend on.
+
+
 @dataclass(frozen=True)
 class Decay:
     """Forgetting by counts of events."""

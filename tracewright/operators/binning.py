@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Binning
 from ..functions.vectors import linspace
 from .drift import Adwin
+from .folds import fold
 
 
 def position(value: Column, edges: Column) -> Column:
@@ -58,23 +59,24 @@ def sparse_bins(counts: DataFrame, threshold: int = Binning.density_threshold) -
     return counts.withColumn("sparse", (F.col("n") < least) & sides)
 
 
-def quantiles(log: DataFrame, columns: tuple[str, ...], points: tuple[float, ...] = Binning.quantiles, exact: bool = True) -> DataFrame:
-    """feature and its quantiles; approximate ones merge in a bounded sketch, which large logs want."""
-    each = F.percentile if exact else F.percentile_approx
+def quantiles(log: DataFrame, columns: tuple[str, ...], points: tuple[float, ...] = Binning.quantiles, exact: bool = False) -> DataFrame:
+    """feature and its quantiles, from a sketch of bounded size; exact ones hold every distinct value in one buffer, for small logs."""
+    each = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 100_000)
     row = log.agg(*[each(c, list(points)).alias(c) for c in columns])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("array<double>").alias("edges")) for c in columns])).alias("x")).select("x.*")
 
 
-def bin_medians(log: DataFrame, column: str, edges: Column) -> DataFrame:
-    """Where each bin would be split: the median of its values."""
+def bin_medians(log: DataFrame, column: str, edges: Column, exact: bool = False) -> DataFrame:
+    """Where each bin would be split: the median of its values, from a sketch of bounded size unless exact."""
     b = bin_of(F.col(column), edges)
-    return log.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.median(column).alias("median"), F.count("*").alias("n"))
+    middle = F.median(column) if exact else F.percentile_approx(column, 0.5, 100_000)
+    return log.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(middle.alias("median"), F.count("*").alias("n"))
 
 
 def density_peaks(log: DataFrame, column: str, grid: int = Binning.grid) -> DataFrame:
     """Local maxima, ends aside, of a Gaussian kernel density on an even grid, the bandwidth being the deviation times n ** (-1/5).
 
-    Each value adds to every grid point: partial sums per grid point come together in grid rows, however many values there are.
+    Each value adds to every grid point: a partition makes one row of sums, however many values there are.
     """
     stats = log.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), F.stddev_samp(column).alias("sd")).first()
     schema = "g int, x double, density double"
@@ -82,10 +84,10 @@ def density_peaks(log: DataFrame, column: str, grid: int = Binning.grid) -> Data
         return log.sparkSession.createDataFrame([], schema)
     n, low, high, width = stats["n"], float(stats["low"]), float(stats["high"]), float(stats["sd"]) * stats["n"] ** -0.2
     step = (high - low) / (grid - 1)
-    rows = log.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("m"))
-    rows = rows.select("v", "m", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
+    v = F.col(column).cast("double")
+    each = [F.sum(F.exp(-F.pow((F.lit(low + g * step) - v) / width, 2) / 2)) for g in range(grid)]
+    sums = log.where(v.isNotNull()).agg(F.array(*each).alias("s")).select(F.posexplode("s").alias("g", "s"))  # one row of sums for each partition
     x = F.lit(low) + F.col("g") * step
-    sums = rows.groupBy("g").agg(F.sum(F.col("m") * F.exp(-F.pow((x - F.col("v")) / width, 2) / 2)).alias("s"))
     near = Window.orderBy("g")  # grid rows
     sums = sums.select("g", x.alias("x"), (F.col("s") / (n * width * math.sqrt(2 * math.pi))).alias("density"))
     sums = sums.withColumns({"before": F.lag("density").over(near), "after": F.lead("density").over(near)})
@@ -186,14 +188,41 @@ class AdaptiveBins:
                 b += 1
 
 
+def _long(log: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """seq, feature and value, a row for each column."""
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    return log.select("seq", F.explode(rows).alias("x")).select("seq", "x.*")
+
+
 def adaptive_bins(log: DataFrame, columns: tuple[str, ...], params: Binning = Binning()) -> DataFrame:
     """seq, feature, bin and drifted for every event and column; log has seq.  The fold runs feature by feature on (seq, value) alone."""
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        bins = AdaptiveBins(params)
+    def step(bins: AdaptiveBins, pdf: pd.DataFrame) -> pd.DataFrame:
         got = [bins.update(v) for v in pdf["value"].tolist()]
         return pd.DataFrame({"seq": pdf["seq"], "feature": pdf["feature"], "bin": [b for b, _ in got], "drifted": [d for _, d in got]})
 
-    return log.select("seq", F.explode(rows).alias("x")).select("seq", "x.*").groupBy("feature").applyInPandas(fold, "seq long, feature string, bin int, drifted boolean")
+    return fold(_long(log, columns), "feature", "seq", lambda _: AdaptiveBins(params), step, "seq long, feature string, bin int, drifted boolean")
+
+
+def with_bins(log: DataFrame, columns: tuple[str, ...], params: Binning = Binning()) -> DataFrame:
+    """log with <column>_bin for each column: its adaptive bin at the time of the event."""
+    bins = adaptive_bins(log, columns, params).groupBy("seq").pivot("feature", list(columns)).agg(F.first("bin"))
+    return log.join(bins.select("seq", *[F.col(f"`{c}`").alias(f"{c}_bin") for c in columns]), "seq").select(*log.columns, *[f"{c}_bin" for c in columns])
+
+
+def maintained_edges(log: DataFrame, columns: tuple[str, ...], params: Binning = Binning()) -> DataFrame:
+    """feature, pos and edge at the end of the log, each feature's fullest bin split and its sparse bins merged at every cooldown's end."""
+
+    def step(bins: AdaptiveBins, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for seq, v in zip(pdf["seq"].tolist(), pdf["value"].tolist()):
+            bins.update(v)
+            if bins.seen and bins.seen % params.split_cooldown == 0 and bins.counts:
+                bins.split(max(bins.counts, key=lambda b: (bins.counts[b], -b)))
+                bins.merge_sparse()
+                rows.append((seq, list(bins.edges)))
+        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]] * len(rows), "seq": [s for s, _ in rows], "edges": [e for _, e in rows]})
+
+    rows = fold(_long(log, columns), "feature", "seq", lambda _: AdaptiveBins(params), step, "feature string, seq long, edges array<double>")
+    last = rows.groupBy("feature").agg(F.max_by("edges", "seq").alias("edges"))
+    return last.select("feature", F.posexplode("edges").alias("pos", "edge"))

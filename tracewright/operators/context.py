@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Decay, Scoring
 from ..sources.logs import LOG, LogSchema
+from ..storage import written
 
 
 def case_order(s: LogSchema = LOG):
@@ -30,6 +31,30 @@ def sequenced(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     return rows.join(hours, "__hour").withColumn("seq", F.col("__before") + F.col("__own")).drop("__hour", "__before", "__own")
 
 
+def numbered(log: DataFrame, keys: list[str], name: str, s: LogSchema = LOG) -> DataFrame:
+    """log with the place of each event among those of equal keys, in the order of (time, event), from 1; in two levels, as seq is."""
+    hours = log.groupBy(*keys, F.date_trunc("hour", s.time).alias("__hour")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)  # a row for each hour
+    hours = hours.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__hour").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    rows = log.withColumn("__hour", F.date_trunc("hour", s.time))
+    rows = rows.withColumn("__own", F.row_number().over(Window.partitionBy(*keys, "__hour").orderBy(s.time, s.event)))
+    same = F.col("__hour") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(hours, same).withColumn(name, F.col("__before") + F.col("__own")).drop("__hour", "__at", "__before", "__own", *[f"__{k}" for k in keys])
+
+
+def ranked(values: DataFrame, order: str, name: str) -> DataFrame:
+    """values, distinct in order, with their rank in it from 0: Spark's range-partitioned sort, and the totals of the partitions before."""
+    table = written(values.orderBy(order).withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__m", 33)
+    sizes = table.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition of the sort
+    sizes = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    rows = table.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    return rows.withColumn(name, F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before", "__m")
+
+
 def first_rows(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     """log with one row of each event id, the earliest."""
     rank = F.row_number().over(Window.partitionBy(s.event).orderBy(s.time, *[c for c in log.columns if c not in (s.event, s.time)]))
@@ -81,6 +106,19 @@ def without_cases(graph: DataFrame, log: DataFrame, gone: DataFrame, s: LogSchem
     return rest.where("n > 0").drop("lost")
 
 
+def case_expiry(log: DataFrame, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
+    """Each case with its last event, the events of the whole log since then, exp(-gap / tau), and whether it has expired by both bounds; log has seq."""
+    end = log.agg(F.max("seq").alias("end"))
+    cases = log.groupBy(s.case).agg(F.max("seq").alias("last_seq")).join(F.broadcast(end))  # one row
+    cases = cases.withColumn("gap", F.col("end") - F.col("last_seq")).withColumn("weight", F.exp(-F.col("gap") / decay.tau)).drop("end")
+    return cases.withColumn("expired", (F.col("weight") < decay.floor) & (F.col("gap") > decay.removal_gap))
+
+
+def without_expired(log: DataFrame, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
+    """The events of the cases that have not expired: what history, counts and the graph are then made of."""
+    return log.join(case_expiry(log, decay, s).where("expired").select(s.case), s.case, "left_anti")
+
+
 def decayed_edges(log: DataFrame, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
     """The graph after forgetting at every tau-th event: a use counts exp(-(last tick - its seq) / tau), and one since the last tick counts 1.
 

@@ -7,6 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import fold
+
 
 class Adwin:
     """Keeps a window of values in buckets of doubling size, and drops the older part when its mean differs from the newer part's."""
@@ -68,10 +70,31 @@ class Adwin:
 def drifts(values: DataFrame, delta: float = 0.02) -> DataFrame:
     """feature and seq of each change; values: feature, seq, value.  The fold runs feature by feature."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        detector = Adwin(delta)
-        hit = [detector.update(v) for v in pdf["value"].tolist()]
-        return pdf.loc[hit, ["feature", "seq"]]
+    def step(detector: Adwin, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[[detector.update(v) for v in pdf["value"].tolist()], ["feature", "seq"]]
+
+    return fold(values.where("value is not null").select("feature", "seq", "value"), "feature", "seq", lambda _: Adwin(delta), step, "feature string, seq long")
+
+
+#: What a change does to a feature's weight, what none does, and the bounds of either.
+RAISED, LOWERED, MOST, LEAST = 1.1, 0.9, 2.0, 0.5
+
+
+class _Weighted:
+    def __init__(self, delta: float):
+        self.detector, self.weight = Adwin(delta), 1.0
+
+    def add(self, value: float) -> tuple[bool, float]:
+        changed = self.detector.update(value)
+        self.weight = min(self.weight * RAISED, MOST) if changed else max(self.weight * LOWERED, LEAST)
+        return changed, self.weight
+
+
+def drift_weights(values: DataFrame, delta: float = 0.02) -> DataFrame:
+    """feature, seq, changed and weight after each look at a feature's mean score; values: feature, seq, value."""
+
+    def step(state: _Weighted, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [state.add(v) for v in pdf["value"].tolist()]
+        return pdf[["feature", "seq"]].assign(changed=[c for c, _ in got], weight=[w for _, w in got])
 
-    return values.where("value is not null").groupBy("feature").applyInPandas(fold, "feature string, seq long")
+    return fold(values.where("value is not null").select("feature", "seq", "value"), "feature", "seq", lambda _: _Weighted(delta), step, "feature string, seq long, changed boolean, weight double")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .context import ranked
+from .folds import fold
+
 #: Distinct values up to which codes come from a join with the dimension, else from a fold.
 LOW_CARDINALITY = 1000
 
@@ -20,12 +23,18 @@ def first_seen(log: DataFrame, column: str) -> DataFrame:
 def sorted_codes(log: DataFrame, column: str) -> DataFrame:
     """Each value with its rank among all values, as text, from 0."""
     values = log.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return ranked(values, "value", "code")
+
+
+def with_sorted_code(log: DataFrame, column: str, name: str) -> DataFrame:
+    """log with the rank of each event's value among all values, -1 for a null; sorted_codes() are the classes."""
+    codes = sorted_codes(log, column).select(F.col("value").alias("__value"), F.col("code").alias(name))
+    return log.join(codes, F.col(column).cast("string") == F.col("__value"), "left").drop("__value").na.fill({name: -1})
 
 
 def frozen_codes(log: DataFrame, column: str) -> DataFrame:
     """Each value with its place in the order of first sight, from 0: codes that never change."""
-    return first_seen(log, column).withColumn("code", F.row_number().over(Window.orderBy("first_seq")) - 1)
+    return ranked(first_seen(log, column), "first_seq", "code")
 
 
 def with_arrival_code(log: DataFrame, column: str, name: str) -> DataFrame:
@@ -45,19 +54,25 @@ def with_arrival_code(log: DataFrame, column: str, name: str) -> DataFrame:
     return log.withColumn(name, F.when(v.isNotNull(), code).otherwise(-1))
 
 
+class _Ranks:
+    """A sorted list of the values seen."""
+
+    def __init__(self) -> None:
+        self.seen: list[str] = []
+
+    def add(self, value: str) -> int:
+        at = bisect.bisect_left(self.seen, value)
+        if at == len(self.seen) or self.seen[at] != value:
+            self.seen.insert(at, value)
+        return at
+
+
 def _folded(log: DataFrame, column: str, name: str) -> DataFrame:
-    """For many values: a sorted list grows event by event, in one task for a column, on (seq, value) alone."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: list[str] = []
-        codes = []
-        for v in pdf.sort_values("seq")["value"]:
-            at = bisect.bisect_left(seen, v)
-            if at == len(seen) or seen[at] != v:
-                seen.insert(at, v)
-            codes.append(at)
-        return pd.DataFrame({"seq": pdf["seq"].sort_values(), "code": codes})
-
-    pairs = log.where(F.col(column).isNotNull()).select("seq", F.col(column).cast("string").alias("value"))
-    codes = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "seq long, code int").withColumnRenamed("code", name)
+    """For many values: a sorted list grows event by event, in one task for a column, on (seq, value) alone; the task holds the values, not the events."""
+
+    def step(state: _Ranks, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"seq": pdf["seq"], "code": [state.add(v) for v in pdf["value"]]})
+
+    pairs = log.where(F.col(column).isNotNull()).select(F.lit(column).alias("feature"), "seq", F.col(column).cast("string").alias("value"))
+    codes = fold(pairs, "feature", "seq", lambda _: _Ranks(), step, "seq long, code int").withColumnRenamed("code", name)
     return log.join(codes, "seq", "left").na.fill({name: -1})

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Decay, Scoring
 from ..sources.logs import LOG, LogSchema
-from .context import activity_order, case_order
+from .context import activity_order, case_order, numbered
+from .encoding import with_arrival_code
 
 
 def resource_rarity(log: DataFrame, s: LogSchema = LOG, weight: float = 1.0) -> DataFrame:
@@ -31,27 +32,39 @@ def past_occurrence_score(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     return log.withColumn("past", F.row_number().over(of_slot) - 1).withColumn("time_score", value / (F.col("past") + 1))
 
 
-def ewma_weight(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
-    """log with weight: w = w * d + score * (1 - d), d = exp(-1 / tau) from an activity's second event on, first weight 1.
+def ewma_weights(log: DataFrame, scores: dict[str, str], decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
+    """log with a weight for each score (name to column): w = w * d + score * (1 - d), d = exp(-1 / tau) from an activity's second event on, first weight 1.
 
     The recurrence is linear, so it is a running sum: with D(c) = exp(-c / tau), w = D(c) / D(1) + sum of score * (1 - d) * D(c) / D(k) over k = 2..c.
-    The sums are taken in blocks of the counter, each relative to its own start, so that nothing overflows; blocks are then chained by a fold over one row each.
+    The sums are taken in blocks of the counter, each relative to its own start, so that nothing overflows and no task sees an activity; blocks are then
+    chained by a fold over one row each.  before_<name> is the weight that the event found.
     """
     d = math.exp(-1 / decay.tau)
     span = int(100 * decay.tau)
-    c = F.row_number().over(activity_order(s))
-    rows = log.withColumn("__c", c).withColumn("__block", F.floor((F.col("__c") - 1) / span))
+    rows = numbered(log, [s.activity], "__c", s).withColumn("__block", F.floor((F.col("__c") - 1) / span))
     rows = rows.withColumn("__age", F.col("__c") - F.col("__block") * span)  # from 1
-    own = F.when(F.col("__c") == 1, F.lit(0.0)).otherwise(F.col(score) * (1 - d)) * F.exp(F.col("__age") / decay.tau)
     in_block = Window.partitionBy(s.activity, "__block").orderBy("__c")
-    rows = rows.withColumn("__own", F.exp(-F.col("__age") / decay.tau) * F.sum(own).over(in_block))
-    ends = rows.groupBy(s.activity, "__block").agg(F.max("__age").alias("age"), F.max_by("__own", "__age").alias("own"))
-    chain = Window.partitionBy(s.activity).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda c: F.when(F.col("__c") == 1, F.lit(0.0)).otherwise(F.col(c) * (1 - d)) * F.exp(F.col("__age") / decay.tau)
+    rows = rows.withColumns({f"__own_{k}": F.exp(-F.col("__age") / decay.tau) * F.sum(own(c)).over(in_block) for k, c in scores.items()})
+    ends = rows.groupBy(s.activity, "__block").agg(F.max("__age").alias("age"), *[F.max_by(f"__own_{k}", "__age").alias(k) for k in scores])
+    chain = Window.partitionBy(s.activity).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    ends = ends.withColumn("past", F.collect_list(F.struct("age", *scores)).over(chain))
     # the first event only sets the weight, which is as if it were 1 / d before it
-    start = F.aggregate(F.col("past"), F.lit(1 / d), lambda w, x: w * F.exp(-x["age"] / decay.tau) + x["own"])
-    ends = ends.withColumn("past", F.collect_list(F.struct("age", "own")).over(chain)).select(s.activity, "__block", start.alias("__start"))
-    out = rows.join(ends, [s.activity, "__block"]).withColumn("weight", F.col("__start") * F.exp(-F.col("__age") / decay.tau) + F.col("__own"))
-    return out.drop("__c", "__block", "__age", "__own", "__start")
+
+    def start(name: str) -> Column:
+        return F.aggregate(F.col("past"), F.lit(1 / d), lambda w, x: w * F.exp(-x["age"] / decay.tau) + x[name])
+
+    starts = {k: start(k) for k in scores}
+    ends = ends.select(F.col(s.activity).alias("__a"), F.col("__block").alias("__b"), *[x.alias(f"__start_{k}") for k, x in starts.items()])
+    out = rows.join(ends, (F.col(s.activity) == F.col("__a")) & (F.col("__block") == F.col("__b")))
+    out = out.withColumns({k: F.col(f"__start_{k}") * F.exp(-F.col("__age") / decay.tau) + F.col(f"__own_{k}") for k in scores})
+    out = out.withColumns({f"before_{k}": F.when(F.col("__c") == 1, F.lit(1.0)).otherwise((F.col(k) - F.col(c) * (1 - d)) / d) for k, c in scores.items()})
+    return out.drop("__c", "__block", "__age", "__a", "__b", *[f"__own_{k}" for k in scores], *[f"__start_{k}" for k in scores])
+
+
+def ewma_weight(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
+    """log with weight, of one score."""
+    return ewma_weights(log, {"weight": score}, decay, s).drop("before_weight")
 
 
 def ewma_weight_literal(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
@@ -111,6 +124,62 @@ def top_features(scores: dict[str, Column], scoring: Scoring = Scoring()) -> Col
     return F.transform(F.slice(ranked, F.lit(1), n), lambda x: x["name"])
 
 
-def adjusted_weight(weight: float, drifted: bool) -> float:
-    """A feature's weight after a look at its drift."""
-    return min(weight * 1.1, 2.0) if drifted else max(weight * 0.9, 0.5)
+#: Calendar features that are scored by their codes, and the one that is 0 or 1.
+CODED, FLAG = ("hour_bin", "day_of_week", "month"), "is_weekend"
+
+
+def feature_scores(log: DataFrame, s: LogSchema = LOG, decay: Decay = Decay(), scoring: Scoring = Scoring()) -> DataFrame:
+    """log with scores, a map of feature to score in the order of the step, and threshold, top, mean_score; log has seq and the calendar columns.
+
+    The context scores 0; the resource the weight it has by then over the number of its uses; the time the weighted sum of the calendar features'
+    codes.  Weights are those that the events before left, from 1.  A score that is no number counts 0.
+    """
+    rows = resource_rarity(log, s)
+    for c in CODED:
+        rows = with_arrival_code(rows, c, f"__code_{c}")
+    rows = rows.withColumns({f"__code_{c}": F.col(f"__code_{c}").cast("double") for c in CODED} | {f"__code_{FLAG}": F.coalesce(F.col(FLAG), F.lit(False)).cast("double")})
+    features = {"__w_resource": "rarity"} | {f"__w_{c}": f"__code_{c}" for c in (*CODED, FLAG)}
+    rows = ewma_weights(rows, features, decay, s)
+    time = time_score({c: F.col(f"__code_{c}") for c in (*CODED, FLAG)}, {c: F.col(f"before___w_{c}") for c in (*CODED, FLAG)})
+    zero = F.lit(0.0)
+    scores = {f"prev_activity_{i + 1}": zero for i in range(scoring.context)} | {s.resource: F.col("before___w_resource") * F.col("rarity"), "time_score": time}
+    number = lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)
+    scores = {k: number(x) for k, x in scores.items()}
+    values = F.array(*scores.values())
+    made = {"scores": F.create_map(*[x for k, v in scores.items() for x in (F.lit(k), v)]), "threshold": adaptive_threshold(values, scoring), "top": top_features(scores, scoring), "mean_score": F.aggregate(values, zero, lambda a, x: a + x) / F.size(values)}
+    rows = rows.withColumns(made)
+    return rows.select(*log.columns, *made)
+
+
+def deviations(log: DataFrame, column: str, s: LogSchema = LOG) -> DataFrame:
+    """log with z: how far an event's value lies from its activity's events before, in their deviations; a deviation of 0 counts 1.
+
+    Running sums in two levels, totals of the hours before and rows within an hour, so that no task sees an activity's whole history.
+    """
+    x = F.col(column).cast("double")
+    center = log.agg(F.avg(x).alias("__center"))  # sums about the mean lose no digits
+    rows = log.join(F.broadcast(center)).withColumns({"__hour": F.date_trunc("hour", s.time), "__x": x - F.col("__center")})  # one row
+    parts = {"n": F.count("__x"), "s": F.sum("__x"), "q": F.sum(F.col("__x") * F.col("__x"))}
+    hours = rows.groupBy(s.activity, "__hour").agg(*[v.alias(k) for k, v in parts.items()])
+    earlier = Window.partitionBy(s.activity).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)  # a row for each hour
+    hours = hours.select(F.col(s.activity).alias("__a"), F.col("__hour").alias("__h"), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"__{k}") for k in parts])
+    within = Window.partitionBy(s.activity, "__hour").orderBy(s.time, s.event).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"__own_{k}": F.coalesce(v.over(within), F.lit(0)) for k, v in parts.items()})
+    rows = rows.join(hours, (F.col(s.activity) == F.col("__a")) & (F.col("__hour") == F.col("__h")))
+    n, total, square = (F.col(f"__{k}") + F.col(f"__own_{k}") for k in parts)
+    mean = total / n
+    sd = F.sqrt(F.greatest(square / n - mean * mean, F.lit(0.0)))
+    z = F.when(n > 0, F.abs(F.col("__x") - mean) / F.when(sd > 1e-9, sd).otherwise(1.0))
+    return rows.withColumn("z", z).select(*log.columns, "z")
+
+
+def sliding_statistics(log: DataFrame, column: str, size: int = 1000, s: LogSchema = LOG) -> DataFrame:
+    """log with n, total and sd over the last size events of the activity, the event included.
+
+    An activity's events are cut into blocks of size; a block takes the one before along, which holds all that its windows reach.
+    """
+    rows = numbered(log, [s.activity], "__c", s).withColumn("__block", F.floor((F.col("__c") - 1) / size))
+    near = rows.withColumn("__for", F.explode(F.array(F.col("__block"), F.col("__block") + 1)))
+    w = Window.partitionBy(s.activity, "__for").orderBy("__c").rowsBetween(1 - size, 0)
+    out = near.withColumns({"n": F.count("*").over(w), "total": F.sum(column).over(w), "sd": F.stddev_pop(column).over(w)})
+    return out.where("__for = __block").select(*log.columns, "n", "total", "sd")

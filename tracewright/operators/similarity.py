@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Clustering
@@ -26,12 +28,19 @@ def centroids(vectors: DataFrame, group: str, vector: str = "vector") -> DataFra
     return slots.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))
 
 
+#: Vectors of a group that meet in one task.
+BLOCK = 256
+
+
 def pairs(vectors: DataFrame, group: str, key: str, vector: str = "vector", with_self: bool = True) -> DataFrame:
-    """Pairs of a group's vectors, i before j: an equi join on the group.  Groups hold micro-clusters, of which a budget keeps few."""
-    a = vectors.select(group, F.col(key).alias("i"), F.col(vector).alias("a"))
-    b = vectors.select(F.col(group).alias("__g"), F.col(key).alias("j"), F.col(vector).alias("b"))
+    """Pairs of a group's vectors, i before j.  Groups hold micro-clusters, of which a budget keeps few; a larger group meets block by block, so that
+    no task holds all of its pairs."""
+    blocks = vectors.groupBy(F.col(group).alias("__g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+    a = vectors.select(group, F.col(key).alias("i"), F.col(vector).alias("a")).join(blocks, F.col(group) == F.col("__g")).drop("__g")
+    b = a.select(F.col(group).alias("__g"), F.col("i").alias("j"), F.col("a").alias("b"), F.pmod(F.xxhash64("i"), F.col("__blocks")).cast("int").alias("__in"))
+    a = a.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
     order = F.col("i") <= F.col("j") if with_self else F.col("i") < F.col("j")
-    return a.join(b, (F.col(group) == F.col("__g")) & order).drop("__g")
+    return a.join(b, (F.col(group) == F.col("__g")) & (F.col("__with") == F.col("__in")) & order).drop("__g", "__with", "__in")
 
 
 def weighted_matrix(vectors: DataFrame, group: str, key: str, alpha: float = Clustering.analysis_alpha, vector: str = "vector") -> DataFrame:
@@ -71,8 +80,42 @@ def verdicts(matrix: DataFrame, group: str, params: Clustering = Clustering()) -
     return out.select(group, F.when(F.col("least") < params.analysis_split, "split").when(F.col("mutual"), "merge").otherwise("no_change").alias("verdict"))
 
 
-def adjusted_thresholds(variability: float, split: float, merge: float) -> tuple[float, float]:
+def dissimilar(matrix: DataFrame, group: str, split: float = Clustering.analysis_split) -> DataFrame:
+    """group and members: the vectors that some other of the group is less like than the split threshold."""
+    far = matrix.where((F.col("i") != F.col("j")) & (F.col("sim") < split)).select(group, F.explode(F.array("i", "j")).alias("member"))
+    return far.groupBy(group).agg(F.array_sort(F.collect_set("member")).alias("members"))
+
+
+def similar_groups(matrix: DataFrame, group: str, high: float = 0.8, low: float = 0.2) -> DataFrame:
+    """group, number and member: greedy groups of two or more, as the rows come: a row takes all later free ones that are more like it than high, and
+    more like every one taken than low.  A group's matrix is one task's, of a budget's size."""
+    kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["i"], *pdf["j"]})
+        place = {x: k for k, x in enumerate(names)}
+        sim = np.zeros((len(names), len(names)))
+        a, b = pdf["i"].map(place).to_numpy(), pdf["j"].map(place).to_numpy()
+        sim[a, b] = sim[b, a] = pdf["sim"]
+        free, out, number = np.ones(len(names), bool), [], 0
+        for i in range(len(names)):
+            if not free[i]:
+                continue
+            taken = [i]
+            for j in (np.flatnonzero((sim[i, i + 1 :] > high) & free[i + 1 :]) + i + 1).tolist():
+                if (sim[taken, j] > low).all():
+                    taken.append(j)
+            if len(taken) > 1:
+                free[taken] = False
+                out += [(pdf[group].iloc[0], number, names[k]) for k in taken]
+                number += 1
+        return pd.DataFrame(out, columns=[group, "number", "member"])
+
+    return matrix.groupBy(group).applyInPandas(greedy, f"{group} {kinds[group]}, number int, member {kinds['i']}")
+
+
+def adjusted_thresholds(variability: Column, split: Column | float, merge: Column | float) -> tuple[Column, Column]:
     """Split and merge thresholds after a look at the variability."""
-    if variability > 0.2:
-        return min(split + 0.05, 1.0), max(merge - 0.05, 0.5)
-    return max(split - 0.05, 0.6), min(merge + 0.05, 0.9)
+    wide = variability > 0.2
+    new_split = F.when(wide, F.least(split + F.lit(0.05), F.lit(1.0))).otherwise(F.greatest(split - F.lit(0.05), F.lit(0.6)))
+    return new_split, F.when(wide, F.greatest(merge - F.lit(0.05), F.lit(0.5))).otherwise(F.least(merge + F.lit(0.05), F.lit(0.9)))

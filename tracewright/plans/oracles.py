@@ -15,7 +15,7 @@ _STATS = "SELECT count(*) AS n_events, count(DISTINCT EventID) AS n_event_ids, c
 _RARE = "rare AS (SELECT *, 1.0::DOUBLE / row_number() OVER (PARTITION BY Activity, Resource ORDER BY Timestamp, EventID) AS rarity FROM log)"
 _VEC = "vec AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _FEW = """few AS (SELECT vec_id, vec_id // 6 AS grp, list_transform(s, lambda x: CASE WHEN list_max(s) > list_min(s) THEN (x - list_min(s)) / (list_max(s) - list_min(s)) ELSE 0 END) AS v
-    FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS s FROM embeddings))"""
+    FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings))"""
 _SLOTS = "slots AS (SELECT grp, vec_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS p FROM few)"
 
 
@@ -27,16 +27,31 @@ def _arrival(column: str) -> str:
 _SCAL = "scal AS (SELECT c.*, s.seq FROM cal c JOIN seq s USING (EventID))"
 
 
-def _matrix(slots: int, alpha: float) -> str:
-    """Weighted similarity of pairs of a group, from slots up to a number."""
-    return f"""var AS (SELECT grp, p, var_pop(x) AS v FROM slots WHERE p <= {slots} GROUP BY grp, p),
+_COLUMNS = ["EventID", "CaseID", "Activity", "Timestamp", "Resource", "ProcessingTime", "PriorityLevel", "FileSize", "hour_bin", "day_of_week", "is_weekend", "week_of_month", "season", "month"]
+_W = ["resource", "hour_bin", "day_of_week", "month", "is_weekend"]
+#: The recurrence of the five weights, event by event of an activity, and the scores that the weights before an event make.
+_SCORES = f"""{_LOG}, {_CAL}, {_SEQ}, {_SCAL}, {_RARE},
+        x AS (SELECT s.EventID, s.Activity, rarity AS s_resource, {_arrival('hour_bin')}::DOUBLE AS s_hour_bin, {_arrival('day_of_week')}::DOUBLE AS s_day_of_week, {_arrival('month')}::DOUBLE AS s_month,
+            CAST(is_weekend AS INT)::DOUBLE AS s_is_weekend, row_number() OVER (PARTITION BY s.Activity ORDER BY s.seq) AS c FROM scal s JOIN rare USING (EventID)),
+        f AS (SELECT EventID, Activity, c, {", ".join(f"1.0::DOUBLE AS w_{k}, 1.0::DOUBLE AS b_{k}" for k in _W)} FROM x WHERE c = 1
+            UNION ALL SELECT x.EventID, x.Activity, x.c, {", ".join(f"f.w_{k} * exp(-1 / 200.0) + x.s_{k} * (1 - exp(-1 / 200.0)), f.w_{k}" for k in _W)} FROM f JOIN x ON x.Activity = f.Activity AND x.c = f.c + 1),
+        made AS (SELECT EventID, b_resource * s_resource AS rs, {" + ".join(f"b_{k} * s_{k}" for k in _W[1:])} AS ts FROM f JOIN x USING (EventID)),
+        judged AS (SELECT *, least(greatest(sqrt(greatest((rs * rs + ts * ts) / 5 - power((rs + ts) / 5, 2), 0)) / 10, 0.1), 1.5) AS threshold FROM made)"""
+
+
+def _matrix(alpha: float) -> str:
+    """Weighted similarity of pairs of a group."""
+    other = f"a.grp = b.grp AND a.vec_id <= b.vec_id" + ("" if alpha else " AND a.p = b.p")
+    return f"""var AS (SELECT grp, p, var_pop(x) AS v FROM slots GROUP BY grp, p),
         raised AS (SELECT grp, p, greatest(CASE WHEN sum(v) OVER (PARTITION BY grp) > 0 THEN v / sum(v) OVER (PARTITION BY grp) ELSE 1 END, 0.1) AS w FROM var),
         wt AS (SELECT grp, p, w / sum(w) OVER (PARTITION BY grp) AS w FROM raised),
         sims AS (SELECT a.grp, a.vec_id AS i, b.vec_id AS j,
             least(greatest(sum(greatest(1 - (a.x - b.x) * (a.x - b.x), 0) * CASE WHEN a.p = b.p THEN 1 ELSE {alpha} END * (wa.w + wb.w) / 2), 0), 1) AS sim
-            FROM slots a JOIN slots b ON a.grp = b.grp AND a.vec_id <= b.vec_id JOIN wt wa ON wa.grp = a.grp AND wa.p = a.p JOIN wt wb ON wb.grp = b.grp AND wb.p = b.p
-            WHERE a.p <= {slots} AND b.p <= {slots} GROUP BY 1, 2, 3)"""
+            FROM slots a JOIN slots b ON {other} JOIN wt wa ON wa.grp = a.grp AND wa.p = a.p JOIN wt wb ON wb.grp = b.grp AND wb.p = b.p GROUP BY 1, 2, 3)"""
+
 
+#: The same thresholds as the registered queries'.
+_SPLIT, _MERGE = 0.86, 0.93
 
 _BIN = "CAST(least(greatest(floor({x}), 0), 19) AS BIGINT)"
 
@@ -91,9 +106,10 @@ ORACLE: dict[str, str] = {
         f AS (SELECT EventID, k, 1.0::DOUBLE AS w FROM r WHERE k = 1 UNION ALL SELECT r.EventID, r.k, f.w * r.d + r.rarity * (1 - r.d) FROM f JOIN r ON r.k = f.k + 1)
         SELECT EventID, round(w, 6) AS weight FROM f""",
     "time_score": f"WITH {_LOG}, {_CAL}, {_SEQ}, {_SCAL} SELECT EventID, CAST({_arrival('hour_bin')} + {_arrival('day_of_week')} + {_arrival('month')} + CAST(is_weekend AS INT) AS DOUBLE) AS time_score FROM scal s",
-    "data_change_score": f"""WITH {_LOG}, p AS (SELECT *, lag(ProcessingTime) OVER w AS pt, lag(FileSize) OVER w AS fs, lag(Resource) OVER w AS rs, coalesce((epoch_us(Timestamp) - lag(epoch_us(Timestamp)) OVER w) / 1e6, 0) AS s
+    "data_change_score": f"""WITH {_LOG}, p AS (SELECT *, lag(ProcessingTime) OVER w AS pt, lag(FileSize) OVER w AS fs, lag(PriorityLevel) OVER w AS pl, lag(Resource) OVER w AS rs, coalesce((epoch_us(Timestamp) - lag(epoch_us(Timestamp)) OVER w) / 1e6, 0) AS s
             FROM log WINDOW w AS (PARTITION BY CaseID ORDER BY Timestamp, EventID))
         SELECT EventID, round(0.6 * CASE WHEN power(ProcessingTime - pt, 2) / 4 > 0.05 THEN 1.2 ELSE 1.0 END * exp(-0.05 * s), 6) AS score_ProcessingTime,
+            round(0.6 * CASE WHEN power(PriorityLevel - pl, 2) / 4 > 0.05 THEN 1.2 ELSE 1.0 END * exp(-0.05 * s), 6) AS score_PriorityLevel,
             round(0.6 * CASE WHEN power(FileSize - fs, 2) / 4 > 0.05 THEN 1.2 ELSE 1.0 END * exp(-0.05 * s), 6) AS score_FileSize,
             round(0.6 * CASE WHEN rs <> Resource THEN 1.15 ELSE 1.0 END * exp(-0.05 * s), 6) AS score_Resource FROM p""",
     "adaptive_topn": f"""WITH {_LOG}, {_RARE}, s AS (SELECT EventID, rarity, PriorityLevel * FileSize AS t FROM rare),
@@ -102,7 +118,38 @@ ORACLE: dict[str, str] = {
     "feature_vector_minmax": f"""WITH {_LOG}, b AS (SELECT *, least(ProcessingTime, PriorityLevel, FileSize) AS lo, greatest(ProcessingTime, PriorityLevel, FileSize) AS hi FROM log)
         SELECT EventID, round(CASE WHEN hi > lo THEN (ProcessingTime - lo) / (hi - lo) ELSE 0 END, 6) AS v0, round(CASE WHEN hi > lo THEN (PriorityLevel - lo) / (hi - lo) ELSE 0 END, 6) AS v1,
             round(CASE WHEN hi > lo THEN (FileSize - lo) / (hi - lo) ELSE 0 END, 6) AS v2 FROM b""",
-    "vector_frequency": f"WITH {_LOG}, {_SEQ} SELECT Activity, CAST(PriorityLevel AS DOUBLE) AS v0, floor(FileSize) AS v1, count(*) AS frequency, max(seq) AS last_seen FROM seq GROUP BY 1, 2, 3",
+    "vector_frequency": f"""WITH {_LOG}, {_SEQ}, c AS (SELECT Activity, CAST(PriorityLevel AS DOUBLE) AS v0, floor(FileSize) AS v1, count(*) AS frequency, max(seq) AS last_seen FROM seq GROUP BY 1, 2, 3)
+        SELECT *, Activity AS refined_label, row_number() OVER (PARTITION BY Activity ORDER BY frequency, last_seen) AS place FROM c""",
+    "vector_frequency_decayed": f"""WITH {_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY Activity ORDER BY Timestamp, EventID) AS k FROM log),
+        d AS (SELECT *, exp(-(max(k) OVER (PARTITION BY Activity) - k) / 200.0) AS f, max(k) OVER (PARTITION BY Activity) AS e FROM k),
+        c AS (SELECT Activity, CAST(PriorityLevel AS DOUBLE) AS v0, floor(FileSize) AS v1, sum(f) AS frequency, max(k) AS last_seen, any_value(e) AS e FROM d GROUP BY 1, 2, 3)
+        SELECT Activity, v0, v1, round(frequency, 6) AS frequency, last_seen FROM c WHERE NOT (frequency < 1e-4 AND e - last_seen > 400)
+        QUALIFY row_number() OVER (PARTITION BY Activity ORDER BY frequency DESC, last_seen DESC) <= 500""",
+    "feature_scores": f"""WITH RECURSIVE {_SCORES}
+        SELECT EventID, 5::BIGINT AS n_scores, round(rs, 6) AS resource_score, round(ts, 6) AS time_score, round((rs + ts) / 5, 6) AS mean_score, round(threshold, 6) AS threshold FROM judged""",
+    "event_vectors": f"""WITH RECURSIVE {_SCORES}, b AS (SELECT *, least(ProcessingTime, PriorityLevel, FileSize) AS lo, greatest(ProcessingTime, PriorityLevel, FileSize) AS hi FROM log)
+        SELECT EventID, Activity AS activity_label, round(CASE WHEN hi > lo THEN (ProcessingTime - lo) / (hi - lo) ELSE 0 END, 6) AS v0, round(CASE WHEN hi > lo THEN (PriorityLevel - lo) / (hi - lo) ELSE 0 END, 6) AS v1,
+            round(CASE WHEN hi > lo THEN (FileSize - lo) / (hi - lo) ELSE 0 END, 6) AS v2, CASE WHEN threshold < 1 THEN '' WHEN ts > rs THEN 'time_score' ELSE 'Resource' END AS top_features
+        FROM b JOIN judged USING (EventID)""",
+    "case_expiry": f"""WITH {_LOG}, {_SEQ}, g AS (SELECT CaseID, max(seq) AS last_seq, (SELECT max(seq) FROM seq) - max(seq) AS gap FROM seq GROUP BY 1)
+        SELECT CaseID, last_seq, gap, round(exp(-gap / 10.0), 6) AS weight, exp(-gap / 10.0) < 1e-4 AND gap > 20 AS expired FROM g""",
+    "dfg_of_live_cases": f"""WITH {_LOG}, {_SEQ}, {_CTX}, g AS (SELECT CaseID, (SELECT max(seq) FROM seq) - max(seq) AS gap FROM seq GROUP BY 1)
+        SELECT p1, p2, p3, Activity, count(*) AS n FROM ctx JOIN g USING (CaseID) WHERE NOT (exp(-gap / 10.0) < 1e-4 AND gap > 20) GROUP BY 1, 2, 3, 4""",
+    "iso_log": f"WITH {_LOG} SELECT EventID, CaseID, CASE WHEN epoch_us(Timestamp) % 1000000 = 0 THEN strftime(Timestamp, '%Y-%m-%dT%H:%M:%S') ELSE strftime(Timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS iso FROM log",
+    "label_codes_joined": f"WITH {_LOG} SELECT EventID, dense_rank() OVER (ORDER BY CAST(Resource AS VARCHAR)) - 1 AS code FROM log",
+    "adjusted_thresholds": f"""WITH {_VEC}, d AS (SELECT a.label, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: power(t[1] - t[2], 2)))) AS d FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id),
+        f AS (SELECT label, least(greatest((avg(d) + stddev_pop(d)) / 10, 0.2), 1.5) AS v FROM d GROUP BY 1)
+        SELECT label, CASE WHEN v > 0.2 THEN 0.2 ELSE 0.6 END::DOUBLE AS split, CASE WHEN v > 0.2 THEN 0.75 ELSE 0.85 END::DOUBLE AS merge FROM f""",
+    "bad_rows": "SELECT event_id AS EventID, CASE WHEN event_id % 50 = 7 THEN 'no valid time' ELSE 'no activity' END AS reason FROM events WHERE event_id % 50 IN (7, 9, 11)",
+    "dissimilar_members": f"""WITH {_FEW}, {_SLOTS}, {_matrix(0.0)}, o AS (SELECT grp, unnest([i, j]) AS m FROM sims WHERE i <> j AND round(sim, 9) < {_SPLIT}),
+        u AS (SELECT DISTINCT grp, m FROM o) SELECT grp, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS members FROM u GROUP BY 1""",
+    "data_columns": "SELECT unnest(['ProcessingTime', 'PriorityLevel', 'FileSize']) AS column",
+    "feature_types": f"""WITH {_LOG}, {_CAL}, one AS (SELECT * FROM cal LIMIT 1),
+        t AS (SELECT {", ".join(f"typeof({c}) AS {c}" for c in _COLUMNS)} FROM one), u AS (UNPIVOT t ON {", ".join(_COLUMNS)} INTO NAME feature VALUE type)
+        SELECT feature, CASE WHEN type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN') THEN 'numeric' ELSE 'categorical' END AS kind FROM u""",
+    "cluster_summary_literal": f"WITH {_LOG} SELECT Activity, 1::BIGINT AS n_clusters, count(*)::DOUBLE AS mean_size, 1.0::DOUBLE AS mean_weight, 1.0::DOUBLE AS total_weight, count(*) AS n_events FROM log GROUP BY 1",
+    "audit_log_literal": f"WITH {_LOG}, {_SEQ} SELECT seq, 'INFO' AS level, 'cluster_create' AS action, Activity AS label FROM seq",
+    "late_rows": f"""WITH {_LOG} SELECT EventID, Activity, 'late' AS reason FROM log WHERE EventID % 10 = 0 AND Timestamp <= (SELECT max(Timestamp) FROM log WHERE EventID % 10 <> 0) - INTERVAL 1 HOUR""",
     "static_bins": f"WITH {_LOG} SELECT EventID, (SELECT least(greatest(count(*) - 1, 0), 19) FROM range(0, 21) e(i) WHERE 0.0 + i * 10.0 / 20 <= FileSize * 1.2 - 0.5) AS bin FROM log",
     "static_bins_halfeven": f"""WITH {_LOG}, v AS (SELECT EventID, round(FileSize * 1.2 / 10 - 0.05, 3) AS v FROM log), e AS (SELECT CAST(i AS INT) AS i, i / 20.0::DOUBLE AS lo, (i + 1) / 20.0::DOUBLE AS hi FROM range(0, 20) r(i))
         SELECT EventID, CAST(coalesce(round_even(i + (v - lo) / (hi - lo), 0), 19) AS BIGINT) AS bin FROM v LEFT JOIN e ON v >= lo AND v < hi""",
@@ -131,19 +178,19 @@ ORACLE: dict[str, str] = {
         SELECT label, count(*) AS n_pairs, round(avg(d), 6) AS mean_distance, round(stddev_pop(d), 6) AS sd_distance FROM d GROUP BY 1""",
     "variability_factor": f"""WITH {_VEC}, d AS (SELECT a.label, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: power(t[1] - t[2], 2)))) AS d FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id)
         SELECT label, round(least(greatest((avg(d) + stddev_pop(d)) / 10, 0.2), 1.5), 6) AS variability FROM d GROUP BY 1""",
-    "variance_weights": f"""WITH {_VEC}, s AS (SELECT label, unnest(v[1:5]) AS x, unnest(range(0, 5)) AS pos FROM vec), p AS (SELECT label, pos, var_pop(x) AS v FROM s GROUP BY 1, 2),
+    "variance_weights": f"""WITH {_VEC}, s AS (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM vec), p AS (SELECT label, pos, var_pop(x) AS v FROM s GROUP BY 1, 2),
         w AS (SELECT label, pos, greatest(v / sum(v) OVER (PARTITION BY label), 0.1) AS w FROM p) SELECT label, pos, round(w / sum(w) OVER (PARTITION BY label), 6) AS w FROM w""",
-    "pair_similarity": f"""WITH {_FEW}, {_SLOTS}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, sum(greatest(1 - power(a.x - b.x, 2), 0)) FILTER (a.p = b.p) AS same, sum(greatest(1 - power(a.x - b.x, 2), 0)) FILTER (a.p <> b.p) AS other
+    "pair_similarity": f"""WITH {_FEW}, {_SLOTS}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, sum(greatest(1 - power(a.x - b.x, 2), 0)) FILTER (a.p = b.p) AS same, sum(greatest(1 - power(a.x - b.x, 2), 0)) FILTER (a.p <> b.p) AS other, max(a.p) AS n
             FROM slots a JOIN slots b ON a.grp = b.grp AND a.vec_id < b.vec_id GROUP BY 1, 2)
-        SELECT i, j, round(same + 0.15 * other, 6) AS raw, round(least((same + 0.15 * other) / 8, 1), 6) AS reference, round((same + 0.15 * other) / (8 + 0.15 * 56), 6) AS pairs, round(same / 8, 6) AS diagonal FROM s""",
-    "similarity_matrix": f"WITH {_FEW}, {_SLOTS}, {_matrix(8, 0.05)} SELECT i, j, round(sim, 6) AS sim FROM sims",
-    "split_merge_verdict": f"""WITH {_FEW}, {_SLOTS}, {_matrix(3, 0.0)}, o AS (SELECT grp, i, j, round(sim, 9) AS sim FROM sims WHERE i <> j), b AS (SELECT grp, i, j FROM o WHERE sim > 0.95 UNION ALL SELECT grp, j, i FROM o WHERE sim > 0.95),
+        SELECT i, j, round(same + 0.15 * other, 6) AS raw, round(least((same + 0.15 * other) / n, 1), 6) AS reference, round((same + 0.15 * other) / (n + 0.15 * n * (n - 1)), 6) AS pairs, round(same / n, 6) AS diagonal FROM s""",
+    "similarity_matrix": f"WITH {_FEW}, {_SLOTS}, {_matrix(0.05)} SELECT i, j, round(sim, 6) AS sim FROM sims",
+    "split_merge_verdict": f"""WITH {_FEW}, {_SLOTS}, {_matrix(0.0)}, o AS (SELECT grp, i, j, round(sim, 9) AS sim FROM sims WHERE i <> j), b AS (SELECT grp, i, j FROM o WHERE sim > {_MERGE} UNION ALL SELECT grp, j, i FROM o WHERE sim > {_MERGE}),
         one AS (SELECT grp, i, min(j) AS j FROM b GROUP BY 1, 2 HAVING count(*) = 1), two AS (SELECT grp FROM one GROUP BY 1 HAVING count(*) = 2 AND min(i) = min_by(j, -i) AND max(i) = min_by(j, i)),
         l AS (SELECT grp, min(sim) AS least FROM o GROUP BY 1), g AS (SELECT DISTINCT grp FROM sims)
-        SELECT g.grp, CASE WHEN least < 0.12 THEN 'split' WHEN two.grp IS NOT NULL THEN 'merge' ELSE 'no_change' END AS verdict FROM g LEFT JOIN l ON l.grp = g.grp LEFT JOIN two ON two.grp = g.grp""",
-    "zscore_vector": f"""WITH {_VEC}, s AS (SELECT vec_id, v[1:4] AS v, list_avg(v[1:4]) AS m, list_stddev_pop(v[1:4]) AS sd FROM vec)
-        SELECT vec_id, round((v[1] - m) / sd, 5) AS z0, round((v[2] - m) / sd, 5) AS z1, round((v[3] - m) / sd, 5) AS z2, round((v[4] - m) / sd, 5) AS z3 FROM s""",
-    "centroid_mean": f"WITH {_VEC}, s AS (SELECT label, unnest(v[1:6]) AS x, unnest(range(0, 6)) AS pos FROM vec) SELECT label, pos, round(avg(x), 6) AS m FROM s GROUP BY 1, 2",
+        SELECT g.grp, CASE WHEN least < {_SPLIT} THEN 'split' WHEN two.grp IS NOT NULL THEN 'merge' ELSE 'no_change' END AS verdict FROM g LEFT JOIN l ON l.grp = g.grp LEFT JOIN two ON two.grp = g.grp""",
+    "zscore_vector": f"""WITH {_VEC}, s AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, len(v))) AS pos, list_avg(v) AS m, list_stddev_pop(v) AS sd FROM vec)
+        SELECT vec_id, pos, round((x - m) / sd, 5) AS z FROM s""",
+    "centroid_mean": f"WITH {_VEC}, s AS (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM vec) SELECT label, pos, round(avg(x), 6) AS m FROM s GROUP BY 1, 2",
     "most_frequent_vector": f"""WITH {_LOG}, {_SEQ}, c AS (SELECT Activity, CAST(PriorityLevel AS DOUBLE) AS v0, floor(FileSize) AS v1, count(*) AS n, min(seq) AS f FROM seq GROUP BY 1, 2, 3)
         SELECT Activity, v0, v1, n FROM c QUALIFY row_number() OVER (PARTITION BY Activity ORDER BY n DESC, f) = 1""",
     "refined_labels_literal": f"WITH {_LOG} SELECT EventID, 0::BIGINT AS cluster_id, 'merge' AS verdict, Activity AS refined_activity FROM log",

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Params
+from ..config import Clustering, Decay, Params
 from ..functions import vectors as V
 from ..functions.calendar import with_calendar
 from ..operators import binning, clustering, context, drift, encoding, scoring, similarity
 from ..sources import logs
+from ..storage import app_dir
 from .repair import repaired, with_vector
 
+#: Thresholds at which all three verdicts occur among the vectors.
+SHARP = Clustering(analysis_split=0.86, analysis_merge=0.93)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -242,8 +245,8 @@ def time_score(spark, d):
 
 @query
 def data_change_score(spark, d):
-    out = scoring.data_change(_log(spark, d), ("ProcessingTime", "FileSize"), ("Resource",))
-    return out.select("EventID", *[_r(f"score_{c}").alias(f"score_{c}") for c in ("ProcessingTime", "FileSize", "Resource")])
+    out = scoring.data_change(_log(spark, d), ("ProcessingTime", "PriorityLevel", "FileSize"), ("Resource",))
+    return out.select("EventID", *[_r(f"score_{c}").alias(f"score_{c}") for c in ("ProcessingTime", "PriorityLevel", "FileSize", "Resource")])
 
 
 def _scores(log: DataFrame) -> dict[str, Column]:
@@ -266,11 +269,73 @@ def feature_vector_minmax(spark, d):
     return v.select("EventID", *[_r(F.col("v")[i]).alias(f"v{i}") for i in range(3)])
 
 
+def _small_vector() -> Column:
+    return F.array(F.col("PriorityLevel").cast("double"), F.floor(F.col("FileSize")).cast("double"))
+
+
 @query
 def vector_frequency(spark, d):
-    vector = F.array(F.col("PriorityLevel").cast("double"), F.floor(F.col("FileSize")).cast("double"))
-    rows = _seq(spark, d).withColumn("vector", vector).groupBy("Activity", "vector").agg(F.count("*").alias("frequency"), F.max("seq").cast("long").alias("last_seen"))
-    return rows.select("Activity", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), "frequency", "last_seen")
+    """Each activity's vectors, their label in a log without repair, and their place among those seen less often or less lately."""
+    rows = clustering.vector_metadata(_seq(spark, d).withColumns({"vector": _small_vector(), "refined_activity": F.col("Activity")}))
+    return rows.select("Activity", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), "frequency", F.col("last_seen").cast("long").alias("last_seen"), "refined_label", F.col("place").cast("long").alias("place"))
+
+
+@query
+def vector_frequency_decayed(spark, d):
+    rows = clustering.decayed_frequencies(context.numbered(_log(spark, d), ["Activity"], "k").withColumn("vector", _small_vector()))
+    return rows.select("Activity", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), _r("frequency").alias("frequency"), F.col("last_seen").cast("long").alias("last_seen"))
+
+
+@query
+def feature_scores(spark, d):
+    """Every score of the selection step, with the weights that the events before left."""
+    rows = scoring.feature_scores(with_calendar(_seq(spark, d)))
+    return rows.select("EventID", F.size("scores").cast("long").alias("n_scores"), _r(F.col("scores")["Resource"]).alias("resource_score"), _r(F.col("scores")["time_score"]).alias("time_score"), _r("mean_score").alias("mean_score"), _r("threshold").alias("threshold"))
+
+
+@query
+def event_vectors(spark, d):
+    """What the vector step hands on for an event: its label, its scaled vector and its top features."""
+    rows = scoring.feature_scores(with_calendar(_seq(spark, d))).select("EventID", F.array_join("top", ",").alias("top_features"))
+    vectors = with_vector(_log(spark, d), Params(vector_features="numeric"))
+    return vectors.join(rows, "EventID").select("EventID", F.col("Activity").alias("activity_label"), *[_r(F.col("vector")[i]).alias(f"v{i}") for i in range(3)], "top_features")
+
+
+@query
+def case_expiry(spark, d):
+    """At a quick decay, by which some cases of the log have expired."""
+    rows = context.case_expiry(_seq(spark, d), Decay(tau=10.0, removal_gap=20))
+    return rows.select("CaseID", F.col("last_seq").cast("long").alias("last_seq"), F.col("gap").cast("long").alias("gap"), _r("weight").alias("weight"), "expired")
+
+
+@query
+def dfg_of_live_cases(spark, d):
+    return context.edges(context.without_expired(_seq(spark, d), Decay(tau=10.0, removal_gap=20))).select("p1", "p2", "p3", "Activity", "n")
+
+
+@query
+def iso_log(spark, d):
+    return logs.in_order(_log(spark, d)).select("EventID", "CaseID", F.col("Timestamp").alias("iso"))
+
+
+@query
+def label_codes_joined(spark, d):
+    return encoding.with_sorted_code(_log(spark, d), "Resource", "code").select("EventID", F.col("code").cast("long").alias("code"))
+
+
+@query
+def adjusted_thresholds(spark, d):
+    v = similarity.distance_statistics(_vectors(spark, d), "label", "vec_id")
+    split, merge = similarity.adjusted_thresholds(F.col("variability"), 0.15, 0.8)
+    return v.select("label", _r(split).alias("split"), _r(merge).alias("merge"))
+
+
+@query
+def bad_rows(spark, d):
+    """A log of which some rows have no time or no activity: what the quarantine holds."""
+    k = F.col("EventID") % 50
+    log = _log(spark, d).withColumns({"Timestamp": F.when(k != 7, F.col("Timestamp")), "Activity": F.when(k == 9, "").when(k != 11, F.col("Activity"))})
+    return logs.quarantine(log).select("EventID", "reason")
 
 
 def _edges() -> Column:
@@ -302,13 +367,13 @@ def sparse_bins(spark, d):
 
 @query
 def bin_quantiles(spark, d):
-    q = binning.quantiles(_log(spark, d), ("ProcessingTime", "FileSize"))
+    q = binning.quantiles(_log(spark, d), ("ProcessingTime", "FileSize"), exact=True)
     return q.select("feature", F.posexplode("edges").alias("pos", "edge")).select("feature", F.col("pos").cast("long").alias("pos"), _r("edge").alias("edge"))
 
 
 @query
 def bin_split_median(spark, d):
-    return binning.bin_medians(_log(spark, d), "FileSize", _edges()).select(F.col("bin").cast("long").alias("bin"), _r("median").alias("median"), "n")
+    return binning.bin_medians(_log(spark, d), "FileSize", _edges(), exact=True).select(F.col("bin").cast("long").alias("bin"), _r("median").alias("median"), "n")
 
 
 @query
@@ -332,17 +397,13 @@ def adaptive_bins(spark, d):
 
 @query
 def sliding_window_stats(spark, d):
-    w = Window.partitionBy("Activity").orderBy("Timestamp", "EventID").rowsBetween(-999, 0)
-    return _log(spark, d).select("EventID", F.count("*").over(w).alias("n"), _r(F.sum("ProcessingTime").over(w), 2).alias("total"), _r(F.stddev_pop("ProcessingTime").over(w), 5).alias("sd"))
+    return scoring.sliding_statistics(_log(spark, d), "ProcessingTime").select("EventID", "n", _r("total", 2).alias("total"), _r("sd", 5).alias("sd"))
 
 
 @query
 def event_deviation(spark, d):
     """How far an event's time lies from its activity's history, in deviations."""
-    w = Window.partitionBy("Activity").orderBy("Timestamp", "EventID").rowsBetween(Window.unboundedPreceding, -1)
-    sd = F.stddev_pop("ProcessingTime").over(w)
-    z = F.abs(F.col("ProcessingTime") - F.avg("ProcessingTime").over(w)) / F.when(sd > 1e-9, sd).otherwise(1.0)
-    return _log(spark, d).select("EventID", _r(z, 4).alias("z"))
+    return scoring.deviations(_log(spark, d), "ProcessingTime").select("EventID", _r("z", 4).alias("z"))
 
 
 @query
@@ -358,13 +419,13 @@ def variability_factor(spark, d):
 
 @query
 def variance_weights(spark, d):
-    w = similarity.variance_weights(_vectors(spark, d).withColumn("vector", F.slice("vector", 1, 5)), "label")
+    w = similarity.variance_weights(_vectors(spark, d), "label")
     return w.select("label", F.posexplode("weights").alias("pos", "w")).select("label", F.col("pos").cast("long").alias("pos"), _r("w").alias("w"))
 
 
 def _few(spark: SparkSession, d: str) -> DataFrame:
-    """Eight slots of each vector, scaled within the vector; groups of a few vectors, as micro-clusters are: vectors of near ids."""
-    v = _vectors(spark, d).withColumn("vector", F.slice("vector", 1, 8)).withColumn("vector", V.minmax("vector"))
+    """Vectors scaled within themselves; groups of a few, as micro-clusters are: vectors of near ids."""
+    v = _vectors(spark, d).withColumn("vector", V.minmax("vector"))
     return v.withColumn("grp", F.floor(F.col("vec_id") / 6))
 
 
@@ -381,23 +442,33 @@ def similarity_matrix(spark, d):
 
 @query
 def split_merge_verdict(spark, d):
-    """Groups of three slots, at thresholds that all three verdicts occur at."""
-    v = _few(spark, d).withColumn("vector", F.slice("vector", 1, 3))
-    from ..config import Clustering
+    """At thresholds that all three verdicts occur at."""
+    matrix = similarity.weighted_matrix(_few(spark, d), "grp", "vec_id", 0.0).withColumn("sim", _r("sim", 9))
+    return similarity.verdicts(matrix, "grp", SHARP)
+
+
+@query
+def dissimilar_members(spark, d):
+    """The vectors of each group that some other is too unlike."""
+    matrix = similarity.weighted_matrix(_few(spark, d), "grp", "vec_id", 0.0).withColumn("sim", _r("sim", 9))
+    return similarity.dissimilar(matrix, "grp", SHARP.analysis_split).select("grp", F.array_join("members", ",").alias("members"))
 
-    matrix = similarity.weighted_matrix(v, "grp", "vec_id", 0.0).withColumn("sim", _r("sim", 9))
-    return similarity.verdicts(matrix, "grp", Clustering(analysis_split=0.12, analysis_merge=0.95))
+
+@query
+def similar_groups(spark, d):
+    matrix = similarity.weighted_matrix(_few(spark, d), "grp", "vec_id", 0.0).withColumn("sim", _r("sim", 9))
+    return similarity.similar_groups(matrix, "grp", SHARP.analysis_merge, SHARP.analysis_split)
 
 
 @query
 def zscore_vector(spark, d):
-    v = _vectors(spark, d).withColumn("vector", F.slice("vector", 1, 4)).withColumn("z", V.zscore("vector"))
-    return v.select("vec_id", *[_r(F.col("z")[i], 5).alias(f"z{i}") for i in range(4)])
+    v = _vectors(spark, d).withColumn("z", V.zscore("vector"))
+    return v.select("vec_id", F.posexplode("z").alias("pos", "z")).select("vec_id", F.col("pos").cast("long").alias("pos"), _r("z", 5).alias("z"))
 
 
 @query
 def centroid_mean(spark, d):
-    c = similarity.centroids(_vectors(spark, d).withColumn("vector", F.slice("vector", 1, 6)), "label")
+    c = similarity.centroids(_vectors(spark, d), "label")
     return c.select("label", F.posexplode("centroid").alias("pos", "m")).select("label", F.col("pos").cast("long").alias("pos"), _r("m").alias("m"))
 
 
@@ -405,9 +476,8 @@ def centroid_mean(spark, d):
 def most_frequent_vector(spark, d):
     """Each activity's most frequent vector, the first seen among equals."""
     vector = F.array(F.col("PriorityLevel").cast("double"), F.floor(F.col("FileSize")).cast("double"))
-    rows = _seq(spark, d).withColumn("vector", vector).groupBy("Activity", "vector").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    top = rows.groupBy("Activity").agg(F.max_by("vector", F.struct("n", -F.col("first"))).alias("v"), F.max("n").alias("n"))
-    return top.select("Activity", F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"), "n")
+    top = clustering.most_frequent_vectors(_seq(spark, d).withColumn("vector", vector))
+    return top.select("Activity", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), "n")
 
 
 @query
@@ -426,9 +496,22 @@ def cluster_summary(spark, d):
     return clustering.cluster_summary(repaired(_log(spark, d)))
 
 
+@query
+def cluster_summary_literal(spark, d):
+    rows = clustering.cluster_summary(repaired(_log(spark, d), Params(mode="literal")))
+    return rows.select("Activity", "n_clusters", "mean_size", "mean_weight", "total_weight", "n_events")
+
+
 @query
 def audit_log(spark, d):
-    return clustering.audit(repaired(_log(spark, d))).groupBy("action", "label").agg(F.count("*").alias("n"))
+    """The whole trail."""
+    return clustering.audit(repaired(_log(spark, d)))
+
+
+@query
+def audit_log_literal(spark, d):
+    """The trail where every event makes a cluster anew and every verdict is to merge."""
+    return clustering.audit(repaired(_log(spark, d), Params(mode="literal"))).select(F.col("seq").cast("long").alias("seq"), "level", "action", "label")
 
 
 @query
@@ -436,21 +519,45 @@ def generated_log(spark, d):
     return logs.generated(spark)
 
 
+def _shifted(spark: SparkSession, d: str) -> DataFrame:
+    """feature, seq and value of all numeric columns, the second half of the log shifted, so that there is a change to find."""
+    log = _seq(spark, d)
+    half = log.count() / 2
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in logs.LOG.numeric])
+    rows = log.select("seq", F.explode(rows).alias("x")).select("seq", "x.*")
+    span = rows.groupBy("feature").agg((F.max("value") - F.min("value")).alias("span"))
+    rows = rows.join(F.broadcast(span), "feature")  # three rows
+    return rows.select("feature", "seq", (F.col("value") + F.when(F.col("seq") > half, 0.3 * F.col("span")).otherwise(0.0)).alias("value"))
+
+
 @query
 def adwin_drift(spark, d):
-    log = _seq(spark, d)
-    n = log.count()
-    # the second half of the log is shifted, so that there is a change to find
-    value = F.col("ProcessingTime") + F.when(F.col("seq") > n / 2, 150.0).otherwise(0.0)
-    return drift.drifts(log.select(F.lit("ProcessingTime").alias("feature"), "seq", value.alias("value")))
+    return drift.drifts(_shifted(spark, d))
+
+
+@query
+def drift_weights(spark, d):
+    """Each feature's weight after every look, by whether its values have drifted."""
+    return drift.drift_weights(_shifted(spark, d))
+
+
+@query
+def binned_log(spark, d):
+    """The log with the adaptive bin of each numeric column."""
+    columns = logs.LOG.numeric
+    return binning.with_bins(_seq(spark, d), columns).select("EventID", *[f"{c}_bin" for c in columns])
+
+
+@query
+def maintained_edges(spark, d):
+    return binning.maintained_edges(_seq(spark, d), logs.LOG.numeric)
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
     """rows written to a folder, read as a stream by make(), and its result."""
     from ..streaming.topology import drained
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}" if top else "file://" + tempfile.mkdtemp(prefix="tracewright-stream-")
+    root = f"{app_dir(spark)}/stream-{uuid.uuid4().hex}"
     # one event far later moves the watermark past all others, and itself waits for ever
     end = {"EventID": F.lit(-1), "CaseID": F.lit(-1), "Activity": F.lit("end"), "Timestamp": F.expr("Timestamp + interval 10 days")}
     last = rows.orderBy(F.desc("Timestamp")).limit(1).withColumns({k: v.cast(rows.schema[k].dataType) for k, v in end.items()})
@@ -474,3 +581,17 @@ def stream_refined(spark, d):
 
     rows = with_vector(with_calendar(_log(spark, d))).select("EventID", "CaseID", "Activity", "Timestamp", "vector")
     return _streamed(spark, rows, lambda s: topology.refined_stream(topology.arrivals(s))).select("EventID", "Activity", "cluster_id", "verdict", "refined_activity")
+
+
+@query
+def late_rows(spark, d):
+    """What a stream's watermark lets go: the log comes in two batches, of which the second holds every tenth event, most of them late."""
+    from ..streaming import sinks
+
+    root = f"{app_dir(spark)}/late-{uuid.uuid4().hex}"
+    log = _log(spark, d)
+    for part, rows in enumerate((log.where("EventID % 10 <> 0"), log.where("EventID % 10 = 0"))):
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/in")
+        sinks.save_late(stream, f"{root}/late", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/late").select("EventID", "Activity", "reason")

@@ -25,7 +25,7 @@ def with_vector(log: DataFrame, params: Params = Params(), s: LogSchema = LOG) -
     kinds = feature_types(log)
     columns = list(s.numeric) if params.vector_features == "numeric" else vector_columns(log, s)
     # numbers of unlike units share a vector: a category's code takes the scale of a unit interval
-    slots = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if kinds[c] == "numeric" else F.pmod(F.xxhash64(c), F.lit(997)) / 997 for c in columns}
+    slots = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if kinds[c] == "numeric" else F.pmod(F.xxhash64(c), F.lit(1000)) / 1000 for c in columns}
     if params.scaling == "per_feature":
         bounds = log.agg(*[F.min(v).alias(f"__low_{c}") for c, v in slots.items()], *[F.max(v).alias(f"__high_{c}") for c, v in slots.items()])
         rows = log.join(F.broadcast(bounds))  # one row
@@ -39,6 +39,16 @@ def repaired(log: DataFrame, params: Params = Params(), s: LogSchema = LOG) -> D
     ready = sequenced(with_calendar(first_rows(valid(log, s), s), s.time), s)
     vectors = with_vector(ready, params, s)
     if params.mode == "literal":
-        return ready.withColumns({"cluster_id": F.lit(0), "verdict": F.lit("merge"), "refined_activity": F.col(s.activity)})
+        return ready.withColumns({"cluster_id": F.lit(0), "best_sim": F.lit(None).cast("double"), "n_active": F.lit(1), "verdict": F.lit("merge"), "refined_activity": F.col(s.activity), "weight": F.lit(1.0), "step": F.lit(0).cast("long")})
     labels = refine(vectors.select("seq", s.activity, "vector"), params, s.activity).drop(s.activity)
     return ready.join(labels, "seq")
+
+
+def output_columns(log: DataFrame, s: LogSchema = LOG) -> list[str]:
+    """What a refined row is written with: the log's columns, the calendar's, and the refined label."""
+    return [c for c in log.columns if c not in CALENDAR] + [*CALENDAR, "refined_activity"]
+
+
+def output(refined: DataFrame, log: DataFrame, s: LogSchema = LOG) -> DataFrame:
+    """Refined rows in the columns in which they are written."""
+    return refined.select(*output_columns(log, s))

@@ -67,9 +67,27 @@ def quarantine(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     return log.withColumn("reason", reason).where("reason is not null")
 
 
-def write_csv(log: DataFrame, path: str) -> None:
-    """One header, all columns named."""
-    log.write.mode("overwrite").option("header", True).csv(path)
+def iso_time(ts: Column) -> Column:
+    """A time as text in the log's own format: no fraction where it is 0."""
+    return F.when(F.unix_micros(ts) % 1_000_000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, ISO_FRACTION))
+
+
+def in_order(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
+    """log by case and time, as the generator writes it, times as text."""
+    return log.orderBy(s.case, s.time, s.event).withColumn(s.time, iso_time(F.col(s.time)))
+
+
+def write_csv(log: DataFrame, path: str, mode: str = "overwrite", s: LogSchema = LOG) -> None:
+    """One header in each file, all columns named, times in the log's own format."""
+    if dict(log.dtypes).get(s.time, "").startswith("timestamp"):
+        log = log.withColumn(s.time, iso_time(F.col(s.time)))
+    log.write.mode(mode).option("header", True).csv(path)
+
+
+def with_label(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
+    """log, in which an event without a label is an error: for callers that have left such rows out."""
+    missing = F.coalesce(F.length(s.activity), F.lit(0)) == 0
+    return log.withColumn(s.activity, F.when(missing, F.raise_error(F.concat(F.lit("no activity label in event "), F.coalesce(F.col(s.event).cast("string"), F.lit("null"))))).otherwise(F.col(s.activity)))
 
 
 def data_columns(log: DataFrame, s: LogSchema = LOG) -> list[str]:

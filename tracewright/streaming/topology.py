@@ -1,8 +1,8 @@
 """The log as a stream: context by case, then clustering by activity, on one shared fold.
 
 Rows wait in state until the watermark passes their time, and are then taken in
-the order of (time, event), as a batch takes them; rows behind the watermark go
-to the quarantine of their stage by not being emitted at all.
+the order of (time, event), as a batch takes them; rows behind the watermark are
+let go here, and kept by sinks.save_late(), which reads the same source.
 """
 
 from __future__ import annotations
