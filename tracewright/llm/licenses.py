@@ -5,18 +5,21 @@ consecutive words.  Every document's shingle hashes are compared with those of
 all templates, which leaves the documents that can match at all.  Their
 shingles are cut into overlapping windows at each scale of template sizes: a
 scale is a power of two at least twice a template's shingles, and windows begin
-every half scale, so that some window holds the whole template and has a
-similarity of a quarter or more with it.  Windows and templates meet on MinHash
-bands of one row; with BANDS of them the chance to miss is 0.75 ** BANDS, one in
-ten thousand.  A retrieved template is verified by exact containment: the share
-of its shingles that the document has.  identify() then leaves the best of
+every half scale, so that some window holds the whole template, and is under four times
+its size.  Windows and templates meet on MinHash bands of one row.  A template of
+which a share t is there has a similarity of t / (5 - t) or more with that window,
+so that BANDS bands miss it with a chance of (1 - t / (5 - t)) ** BANDS: one in ten
+thousand at the threshold of 0.8.  A retrieved template is verified by exact
+containment: the share of its shingles that the document has.  identify() then leaves the best of
 templates that rival each other, such as the versions of a license.
 
 Defined cases: a null text or one of fewer than five words has no shingle and
 matches nothing; a template of fewer than five words is never matched; a
 document may match several templates, or one in several places, and gives one
-row for each template; repeated documents give a row each; an empty table gives
-no rows.
+row for each template; a template spread over a text longer than its window may
+be missed; repeated documents give a row each; a very long text is hashed whole
+within its row and its windows are rows of their own; an empty table gives no
+rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 WIDTH = 5
-BANDS = 32
+BANDS = 44
 THRESHOLD = 0.8
+#: Shingles of all templates up to which a plan holds them as a set; more are joined.
+LITERAL_SHINGLES = 200_000
 
 _GNU = "This {0} is free software{2} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
 _CC = "This work is licensed under a Creative Commons {} {} International License."
@@ -109,17 +114,26 @@ def _known(spark: SparkSession, templates: DataFrame | None) -> DataFrame:
     return shingles.withColumn("scale", _scale()).where("scale > 0")
 
 
+def _candidates(docs: DataFrame, shingles: list[int], most: int) -> DataFrame:
+    """A table of row, doc_id, h and hits (the templates' shingles that the document has) for every document that has any."""
+    own = _with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    if len(shingles) <= most:
+        # one look into a set for each shingle of a document, however many the templates have
+        own = own.withColumn("hits", F.expr(f"array_distinct(filter(h, x -> x in ({', '.join(f'{x}L' for x in shingles)})))"))
+        # the id comes first: Spark moves no filter below it, and so hashes no text twice
+        return written(own.withColumn("row", F.monotonically_increasing_id()).where("size(hits) > 0"), "license-candidates")
+    table = written(own.withColumn("row", F.monotonically_increasing_id()), "license-shingles")
+    every = docs.sparkSession.createDataFrame([(x,) for x in shingles], "x long")
+    hits = table.select("row", F.explode(F.array_distinct("h")).alias("x")).join(every, "x").groupBy("row").agg(F.collect_list("x").alias("hits"))
+    return written(table.join(hits, "row"), "license-candidates")
+
+
 def _matches(docs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """row, doc_id, license, share and hits (the template's shingles that the document has) of each document and template that it holds."""
     rows = known.collect()
     if not rows:
         return docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("share"), F.array().cast("array<bigint>").alias("hits")).where("false")
-    anything = ", ".join(f"{x}L" for x in sorted({x for r in rows for x in r["h"]}))
-    own = _with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
-    # one look into a set for each shingle of a document, however many the templates have
-    own = own.withColumn("hits", F.expr(f"array_distinct(filter(h, x -> x in ({anything})))"))
-    # the id comes first: Spark moves no filter below it, and so hashes no text twice
-    can = written(own.withColumn("row", F.monotonically_increasing_id()).where("size(hits) > 0"), "license-candidates")
+    can = _candidates(docs, sorted({x for r in rows for x in r["h"]}), LITERAL_SHINGLES)
     # a document with fewer of the templates' shingles than the least template of a scale needs holds none of them
     least = {s: threshold * min(len(r["h"]) for r in rows if r["scale"] == s) for s in sorted({r["scale"] for r in rows})}
     scales = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(0.999 * n).alias("least")) for s, n in least.items()])

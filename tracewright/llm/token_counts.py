@@ -10,7 +10,8 @@ stitches documents that cross blocks or files and numbers them.
 Defined cases: what follows a stream's last separator is one more, unfinished
 document if it isn't empty; two separators in a row hold a document of no
 tokens; an empty file or table gives no rows; a null text is a document of no
-tokens; repeated documents, nulls in doc_id and other columns don't matter.
+tokens; a very long document spans as many blocks as it needs; repeated
+documents, nulls in doc_id and other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +36,28 @@ DTYPES = {2: "<u2", 4: "<u4"}
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, ids) of flat files of little-endian ids of width bytes."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    """Blocks (file, block, ids) of flat files of little-endian ids of width bytes, of any size.
+
+    Files are listed with their lengths, which gives the byte range of every block; each task then opens a file at the
+    ranges that it was dealt, so that it holds one block, and one file is read by many tasks.  The folder is one that the
+    executors can open by Arrow's file systems (local or mounted, HDFS, S3, GCS).
+    """
     step = block_tokens * width
-    return files.where(F.length("content") > 0).select("file", F.posexplode(F.expr(f"transform(sequence(0L, (length(content) - 1) div {step}), i -> substring(content, int(i * {step} + 1), {step}))")).alias("block", "ids"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")  # reads no content
+    ranges = files.select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, length, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                where, name = fs.FileSystem.from_uri(file)
+                with where.open_input_file(name) as f:
+                    ids = f.read_at(min(step, length - block * step), block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int32()), pa.array([ids], pa.binary())], ["file", "block", "ids"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    return ranges.repartition(4 * tasks, "file", "block").mapInArrow(run, "file string, block int, ids binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:

@@ -4,7 +4,8 @@ A text's ids are those of its units one after the other: units are runs of
 non-space bytes, cut where a letter of ASCII or Latin (U+00C0 to U+024F) is
 followed by another ASCII character that isn't a letter.  The vocabulary's
 splitting rule has a boundary at each such place, whatever stands around it, so
-nothing is lost by the cut.  Each worker process keeps the ids of the units it
+nothing is lost by the cut; a vocabulary whose units depend on the white space
+before them is refused.  Each worker process keeps the ids of the units it
 has met; new ones are encoded together, with a special token between them.  A
 text that holds a special token's string is encoded as a whole.
 """
@@ -40,6 +41,11 @@ class WordTokenizer:
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = [x.encode() for x in special.values()]
         self.between, self.mark = max(special.items())
+        # units are known by their bytes, in lower case where the vocabulary takes no other
+        self.fold = textops.LOWER if self.tokenizer.encode("AbC zZ", add_special_tokens=False).ids == self.tokenizer.encode("abc zz", add_special_tokens=False).ids else np.arange(256, dtype=np.uint8)
+        plain = self.tokenizer.encode("ab", add_special_tokens=False).ids
+        if self.tokenizer.encode(" ab", add_special_tokens=False).ids != plain or self.tokenizer.encode(f"ab{self.mark}ab", add_special_tokens=False).ids != [*plain, self.between, *plain]:
+            raise ValueError(f"{path}: this vocabulary's units depend on the white space before them")
         self._empty()
 
     def _empty(self) -> None:
@@ -75,7 +81,7 @@ class WordTokenizer:
             letter[1:] |= second
             cut[1:] = letter[:-1] & _CUT_BEFORE[data[1:]]
         starts, ends = textops.spans(texts, textops.NON_SPACE, cut)
-        keys = textops.span_hashes(textops.LOWER[data], starts, ends)
+        keys = textops.span_hashes(self.fold[data], starts, ends)
         first = textops.words_of_text(starts, texts.offsets)
         raw = data.tobytes()
         if any(s in raw for s in self.special):
