@@ -2,7 +2,18 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next one's docs.  All stages but the last return
-the columns of documents.
+the columns of documents, whatever further ones there are and whatever their
+names.
+
+Defined cases, by the operators' rules: a null or short text goes in the first
+stage, which keeps no document of fewer than 50 words; repeated rows are judged
+each by itself there, share their fate in line dedup, and are one class of the
+Jaccard join, of which one row stays; of documents that tie, the one with the
+least doc_id counts as first, one without doc_id as last there and as first in
+line dedup; a doc_id with several texts stands for several documents; a very
+long text is read whole by every stage and cut only into pieces by the last;
+empty tables give no rows, and without labels or benchmark the base rules alone
+reject, and nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -15,7 +26,7 @@ from tracewright.storage import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio keep."""
+    """Documents that the base rules and the likelihood ratio keep, as they are."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Decay, Scoring
 from ..sources.logs import LOG, LogSchema
-from .context import activity_order, case_order, numbered
+from .context import case_order, numbered
 from .encoding import with_arrival_code
 
 
@@ -70,16 +70,21 @@ def ewma_weight(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema
 def ewma_weight_literal(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
     """The same when one counter of last use serves all activities, so that gaps may be negative and d over 1.
 
-    Gaps telescope over the whole log, whose order is global, so this is one window over all events; use it to reproduce small logs.
+    Gaps telescope over the whole log, so that the weight is a running sum in its order, in two levels: the hours before and the rows of an hour.
+    The sums grow with exp(counter / tau), as the literal weights themselves do: use it to reproduce small logs.
     """
-    everything = Window.orderBy(s.time, s.event)
-    c = F.row_number().over(activity_order(s)).cast("double")
-    rows = log.withColumn("__c", c).withColumn("__last", F.lag("__c").over(everything))
-    d = F.exp(-(F.col("__c") - F.coalesce("__last", "__c")) / decay.tau)
-    level = F.exp(-F.col("__c") / decay.tau)
-    first = F.first(level).over(everything)
-    weight = level * (1 / first + F.sum(F.col(score) * (1 - d) / level).over(everything))
-    return rows.withColumn("weight", weight).drop("__c", "__last")
+    rows = numbered(log, [s.activity], "__c", s).withColumns({"__c": F.col("__c").cast("double"), "__hour": F.date_trunc("hour", s.time)})
+    within = Window.partitionBy("__hour").orderBy(s.time, s.event)
+    earlier = Window.orderBy("__h")  # a row for each hour
+    last = rows.groupBy(F.col("__hour").alias("__h")).agg(F.max_by("__c", F.struct(s.time, s.event)).alias("c")).withColumn("__before", F.lag("c").over(earlier)).drop("c")
+    rows = rows.withColumn("__lag", F.lag("__c").over(within)).join(last, F.col("__hour") == F.col("__h")).drop("__h")
+    d = F.exp(-(F.col("__c") - F.coalesce("__lag", "__before", "__c")) / decay.tau)
+    rows = rows.withColumn("__part", F.col(score) * (1 - d) * F.exp(F.col("__c") / decay.tau))
+    sums = rows.groupBy(F.col("__hour").alias("__h")).agg(F.sum("__part").alias("t")).withColumn("__from", F.coalesce(F.sum("t").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("t")
+    rows = rows.withColumn("__sum", F.sum("__part").over(within)).join(sums, F.col("__hour") == F.col("__h"))
+    # the first event's counter is 1
+    weight = F.exp(-F.col("__c") / decay.tau) * (math.exp(1 / decay.tau) + F.col("__from") + F.col("__sum"))
+    return rows.withColumn("weight", weight).select(*[c for c in log.columns if c != "weight"], "weight")
 
 
 def time_score(codes: dict[str, Column], weights: dict[str, Column]) -> Column:
