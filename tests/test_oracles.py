@@ -42,26 +42,18 @@ def events(duck):
 
 
 def test_refined_rows_agree_with_each_other(spark, duck):
-    """Every event once; the summary, the trail and the stream's rows follow from the refined ones."""
+    """Every event once; the trail follows from the refined rows."""
     refined = rows_of(spark, "refined_labels")
     assert len({r["EventID"] for r in refined}) == len(refined) == events(duck)
     for r in refined:
         assert r["refined_activity"] == r["Activity"] or r["refined_activity"].startswith(r["Activity"] + "_") and r["n_active"] > 1
         assert r["best_sim"] is None or 0 <= r["best_sim"] <= 1
         assert r["verdict"] in ("split", "merge", "no_change")
-    clusters = {}
-    for r in refined:
-        clusters.setdefault(r["Activity"], {}).setdefault(r["cluster_id"], []).append(r)
-    for s in rows_of(spark, "cluster_summary"):
-        own = clusters[s["Activity"]]
-        assert (s["n_clusters"], s["n_events"]) == (len(own), sum(map(len, own.values()))) and s["mean_size"] == s["n_events"] / len(own)
-        assert 0 < s["total_weight"] <= s["n_events"] and s["mean_weight"] == pytest.approx(s["total_weight"] / len(own))
     made = sum(r["best_sim"] is None or r["best_sim"] < 0.15 for r in refined)
     asked = sum(not (r["best_sim"] is None or r["best_sim"] < 0.15) and r["verdict"] != "no_change" for r in refined)
     trail = rows_of(spark, "audit_log")
     assert sum(r["action"] == "cluster_create" for r in trail) == made and sum(r["action"].endswith("_decision") for r in trail) == asked
-    streamed = {r["EventID"]: (r["cluster_id"], r["verdict"], r["refined_activity"]) for r in rows_of(spark, "stream_refined")}
-    assert streamed == {r["EventID"]: (r["cluster_id"], r["verdict"], r["refined_activity"]) for r in refined}
+    assert len({r["refined_activity"] for r in rows_of(spark, "refined_labels_numeric")}) > 5
 
 
 def test_bins_and_drifts_agree_with_each_other(spark, duck):
@@ -111,7 +103,7 @@ def test_generated_log(spark):
 
 
 def test_every_query_is_compared_or_checked():
-    checked = {"refined_labels", "cluster_summary", "audit_log", "stream_refined", "adaptive_bins", "binned_log", "adwin_drift", "drift_weights", "maintained_edges", "similar_groups", "generated_log"}
+    checked = {"refined_labels", "audit_log", "adaptive_bins", "binned_log", "adwin_drift", "drift_weights", "maintained_edges", "similar_groups", "generated_log"}
     assert set(QUERIES) == set(ORACLE) | checked
 
 

@@ -39,6 +39,27 @@ _SCORES = f"""{_LOG}, {_CAL}, {_SEQ}, {_SCAL}, {_RARE},
         judged AS (SELECT *, least(greatest(sqrt(greatest((rs * rs + ts * ts) / 5 - power((rs + ts) / 5, 2), 0)) / 10, 0.1), 1.5) AS threshold FROM made)"""
 
 
+#: Clusters by recursion: each step takes an activity's next event, and a list of its clusters as the state.
+_SIM = "least(greatest((greatest(1 - (m.c[1] - v[1]) * (m.c[1] - v[1]), 0) + greatest(1 - (m.c[2] - v[2]) * (m.c[2] - v[2]), 0) + greatest(1 - (m.c[3] - v[3]) * (m.c[3] - v[3]), 0)) / 3, 0), 1)"
+_MOVED = "[m.c[1] + (v[1] - m.c[1]) / (m.w + 1), m.c[2] + (v[2] - m.c[2]) / (m.w + 1), m.c[3] + (v[3] - m.c[3]) / (m.w + 1)]"
+_CLUSTERS = f"""{_LOG}, bounds AS (SELECT min(ProcessingTime) AS l1, max(ProcessingTime) AS h1, min(PriorityLevel)::DOUBLE AS l2, max(PriorityLevel)::DOUBLE AS h2, min(FileSize) AS l3, max(FileSize) AS h3 FROM log),
+        x AS (SELECT EventID, Activity, [(ProcessingTime - l1) / (h1 - l1), (PriorityLevel::DOUBLE - l2) / (h2 - l2), (FileSize - l3) / (h3 - l3)] AS v,
+            row_number() OVER (PARTITION BY Activity ORDER BY Timestamp, EventID) AS k FROM log, bounds),
+        f AS (SELECT EventID, Activity, k, 0::BIGINT AS chosen, NULL::DOUBLE AS best, 1::BIGINT AS next, [{{'id': 0::BIGINT, 'c': v, 'w': 1.0::DOUBLE, 'last': k}}] AS st, [0::BIGINT] AS seen FROM x WHERE k = 1
+            UNION ALL SELECT EventID, Activity, k, chosen, best, next,
+                CASE WHEN made THEN list_append(st, {{'id': chosen, 'c': v, 'w': 1.0::DOUBLE, 'last': k}})
+                     ELSE list_transform(st, lambda m: CASE WHEN m.id <> chosen THEN m ELSE {{'id': m.id, 'c': CASE WHEN best > 0.85 THEN {_MOVED} ELSE m.c END, 'w': CASE WHEN best > 0.85 THEN m.w + 1 ELSE m.w END, 'last': k}} END) END AS st,
+                CASE WHEN list_contains(seen, chosen) THEN seen ELSE list_append(seen, chosen) END AS seen
+            FROM (SELECT *, CASE WHEN made THEN old ELSE -top.n END AS chosen, top.s AS best, CASE WHEN made THEN old + 1 ELSE old END AS next
+                FROM (SELECT *, top IS NULL OR top.s < 0.82 AS made
+                    FROM (SELECT *, list_max(list_transform(st, lambda m: {{'s': {_SIM}, 'n': -m.id}})) AS top
+                        FROM (SELECT x.EventID, x.Activity, x.k, x.v, f.next AS old, f.seen,
+                                list_filter(list_transform(f.st, lambda m: {{'id': m.id, 'c': m.c, 'w': m.w * exp(-1 / 200.0), 'last': m.last}}), lambda m: NOT (m.w < 1e-4 AND x.k - m.last > 400)) AS st
+                            FROM f JOIN x ON x.Activity = f.Activity AND x.k = f.k + 1))))),
+        refined AS (SELECT EventID, Activity, k, chosen AS cluster_id, best, len(list_filter(st, lambda m: m.w > 0.01)) AS n_active, list_filter(st, lambda m: m.id = chosen)[1].w AS weight, list_position(seen, chosen) AS ordinal FROM f)"""
+_REFINED = "round(best, 6) AS best_sim, CAST(n_active AS BIGINT) AS n_active, CASE WHEN n_active <= 1 THEN Activity ELSE Activity || '_' || ordinal END AS refined_activity"
+
+
 def _matrix(alpha: float) -> str:
     """Weighted similarity of pairs of a group."""
     other = f"a.grp = b.grp AND a.vec_id <= b.vec_id" + ("" if alpha else " AND a.p = b.p")
@@ -147,6 +168,15 @@ ORACLE: dict[str, str] = {
     "feature_types": f"""WITH {_LOG}, {_CAL}, one AS (SELECT * FROM cal LIMIT 1),
         t AS (SELECT {", ".join(f"typeof({c}) AS {c}" for c in _COLUMNS)} FROM one), u AS (UNPIVOT t ON {", ".join(_COLUMNS)} INTO NAME feature VALUE type)
         SELECT feature, CASE WHEN type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN') THEN 'numeric' ELSE 'categorical' END AS kind FROM u""",
+    "refined_labels_numeric": f"WITH RECURSIVE {_CLUSTERS} SELECT EventID, Activity, cluster_id, {_REFINED}, round(weight, 6) AS weight, k AS step FROM refined",
+    "stream_refined": f"WITH RECURSIVE {_CLUSTERS} SELECT EventID, Activity, cluster_id, {_REFINED} FROM refined",
+    "cluster_summary": f"""WITH RECURSIVE {_CLUSTERS}, e AS (SELECT Activity, max(k) AS e, count(*) AS n FROM refined GROUP BY 1),
+        c AS (SELECT Activity, cluster_id, count(*) AS n, max_by(weight, k) AS w, max(k) AS last FROM refined GROUP BY 1, 2), d AS (SELECT Activity, c.n, w * exp(-(e - last) / 200.0) AS w, e.n AS all FROM c JOIN e USING (Activity))
+        SELECT Activity, count(*) AS n_clusters, max(d.all) AS n_events, round(avg(n), 6) AS mean_size, round(avg(w), 6) AS mean_weight, round(sum(w), 6) AS total_weight FROM d GROUP BY 1""",
+    "refined_output_literal": f"""WITH {_LOG}, {_CAL} SELECT EventID, CaseID, Activity, CASE WHEN epoch_us(Timestamp) % 1000000 = 0 THEN strftime(Timestamp, '%Y-%m-%dT%H:%M:%S') ELSE strftime(Timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS Timestamp,
+        Resource, round(ProcessingTime, 6) AS ProcessingTime, PriorityLevel, round(FileSize, 6) AS FileSize, hour_bin, day_of_week, is_weekend, week_of_month, season, month, Activity AS refined_activity FROM cal""",
+    "csv_log": f"""WITH {_LOG} SELECT EventID, CAST(CaseID AS VARCHAR) AS CaseID, Activity, CASE WHEN epoch_us(Timestamp) % 1000000 = 0 THEN strftime(Timestamp, '%Y-%m-%dT%H:%M:%S') ELSE strftime(Timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS Timestamp,
+        'Zürich' AS Location, CAST(round(ProcessingTime) AS BIGINT) AS ProcessingTime FROM log WHERE EventID % 40 NOT IN (3, 5)""",
     "cluster_summary_literal": f"WITH {_LOG} SELECT Activity, 1::BIGINT AS n_clusters, count(*)::DOUBLE AS mean_size, 1.0::DOUBLE AS mean_weight, 1.0::DOUBLE AS total_weight, count(*) AS n_events FROM log GROUP BY 1",
     "audit_log_literal": f"WITH {_LOG}, {_SEQ} SELECT seq, 'INFO' AS level, 'cluster_create' AS action, Activity AS label FROM seq",
     "late_rows": f"""WITH {_LOG} SELECT EventID, Activity, 'late' AS reason FROM log WHERE EventID % 10 = 0 AND Timestamp <= (SELECT max(Timestamp) FROM log WHERE EventID % 10 <> 0) - INTERVAL 1 HOUR""",

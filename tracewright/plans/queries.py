@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Clustering, Decay, Params
+from ..config import CALIBRATED, Clustering, Decay, Params
 from ..functions import vectors as V
 from ..functions.calendar import with_calendar
 from ..operators import binning, clustering, context, drift, encoding, scoring, similarity
 from ..sources import logs
 from ..storage import app_dir
-from .repair import repaired, with_vector
+from .repair import output, repaired, with_vector
 
 #: Thresholds at which all three verdicts occur among the vectors.
 SHARP = Clustering(analysis_split=0.86, analysis_merge=0.93)
@@ -491,9 +491,42 @@ def refined_labels(spark, d):
     return r.select("EventID", "Activity", "cluster_id", _r("best_sim").alias("best_sim"), "n_active", "verdict", "refined_activity")
 
 
+#: Numeric columns scaled by feature, at the thresholds that fit such vectors.
+CALIBRATED_PARAMS = Params(vector_features="numeric", scaling="per_feature", clustering=CALIBRATED)
+
+
+@query
+def refined_labels_numeric(spark, d):
+    r = repaired(_log(spark, d), CALIBRATED_PARAMS)
+    return r.select("EventID", "Activity", F.col("cluster_id").cast("long").alias("cluster_id"), _r("best_sim").alias("best_sim"), F.col("n_active").cast("long").alias("n_active"), "refined_activity", _r("weight").alias("weight"), "step")
+
+
+@query
+def refined_output_literal(spark, d):
+    """Refined rows in the columns in which they are written."""
+    log = _log(spark, d)
+    rows = output(repaired(log, Params(mode="literal")), log)
+    return rows.withColumns({"Timestamp": logs.iso_time(F.col("Timestamp")), **{c: F.col(c).cast("long") for c in ("day_of_week", "week_of_month", "month")}, **{c: _r(c) for c in ("ProcessingTime", "FileSize")}})
+
+
+@query
+def csv_log(spark, d):
+    """The log written as CSV, some rows without a valid time or an activity, and read again."""
+    path = f"{app_dir(spark)}/csv-{uuid.uuid4().hex}"
+    k = F.col("EventID") % 40
+    rows = _log(spark, d).select(
+        "EventID", "CaseID", F.when(k != 3, F.col("Activity")).alias("Activity"), F.when(k == 5, "soon").otherwise(logs.iso_time(F.col("Timestamp"))).alias("Timestamp"), "Resource",
+        F.lit("Zürich").alias("Location"), F.lit("Night").alias("Shift"), F.lit("IT").alias("Department"), F.round("ProcessingTime").cast("int").alias("ProcessingTime"), "PriorityLevel", "FileSize",
+    )
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    log = logs.read_csv(spark, path)
+    return log.select(F.col("EventID").cast("long").alias("EventID"), "CaseID", "Activity", logs.iso_time(F.col("Timestamp")).alias("Timestamp"), "Location", F.col("ProcessingTime").cast("long").alias("ProcessingTime"))
+
+
 @query
 def cluster_summary(spark, d):
-    return clustering.cluster_summary(repaired(_log(spark, d)))
+    rows = clustering.cluster_summary(repaired(_log(spark, d), CALIBRATED_PARAMS))
+    return rows.select("Activity", "n_clusters", "n_events", _r("mean_size").alias("mean_size"), _r("mean_weight").alias("mean_weight"), _r("total_weight").alias("total_weight"))
 
 
 @query
@@ -579,8 +612,9 @@ def stream_context(spark, d):
 def stream_refined(spark, d):
     from ..streaming import topology
 
-    rows = with_vector(with_calendar(_log(spark, d))).select("EventID", "CaseID", "Activity", "Timestamp", "vector")
-    return _streamed(spark, rows, lambda s: topology.refined_stream(topology.arrivals(s))).select("EventID", "Activity", "cluster_id", "verdict", "refined_activity")
+    rows = with_vector(with_calendar(_log(spark, d)), CALIBRATED_PARAMS).select("EventID", "CaseID", "Activity", "Timestamp", "vector")
+    out = _streamed(spark, rows, lambda s: topology.refined_stream(topology.arrivals(s), CALIBRATED_PARAMS))
+    return out.select("EventID", "Activity", F.col("cluster_id").cast("long").alias("cluster_id"), _r("best_sim").alias("best_sim"), F.col("n_active").cast("long").alias("n_active"), "refined_activity")
 
 
 @query
