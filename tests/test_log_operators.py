@@ -81,6 +81,27 @@ def test_codes(spark):
     assert [r["code"] for r in encoding._folded(log, "Activity", "code").orderBy("seq").collect()] == [0, 0, 1, 2]
 
 
+def test_codes_of_many_values(spark, monkeypatch):
+    """An expression, a broadcast and a fold say the same, nulls and values that sort before earlier ones among them."""
+    r = random.Random(8)
+    rows = [(f"{i:04d}", "c", None if i % 17 == 0 else f"v{r.randrange(120):x}é", i, "u") for i in range(600)]
+    log = context.sequenced(log_of(spark, rows))
+    seen, want = [], {}
+    import bisect
+
+    for i, (_, _, a, _, _) in enumerate(rows):
+        if a is None:
+            want[i + 1] = -1
+            continue
+        if a not in seen:
+            bisect.insort(seen, a)
+        want[i + 1] = seen.index(a)
+    for low, most in ((1000, 10**6), (0, 10**6), (0, 0)):
+        monkeypatch.setattr(encoding, "LOW_CARDINALITY", low)
+        monkeypatch.setattr(encoding, "BROADCAST_VALUES", most)
+        assert {x["seq"]: x["code"] for x in encoding.with_arrival_code(log, "Activity", "code").collect()} == want
+
+
 def test_bins(spark):
     df = values(spark, [0.025, 0.1, 0.125, 0.475, 0.99, 1.0, -5.0, None])
     e = binning.uniform_edges(0.0, 1.0)

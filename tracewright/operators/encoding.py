@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from .context import ranked
 from .folds import fold
 
-#: Distinct values up to which codes come from a join with the dimension, else from a fold.
-LOW_CARDINALITY = 1000
+#: Distinct values up to which codes are one expression over them, and up to which they are broadcast; beyond, a fold gives them.
+LOW_CARDINALITY, BROADCAST_VALUES = 1000, 1_000_000
 
 
 def first_seen(log: DataFrame, column: str) -> DataFrame:
@@ -40,12 +42,14 @@ def frozen_codes(log: DataFrame, column: str) -> DataFrame:
 def with_arrival_code(log: DataFrame, column: str, name: str) -> DataFrame:
     """log with the rank of each event's value, as text, among those seen until then.
 
-    The dimension becomes one array of (value, first_seq): it is collected by Spark into a row only if it is small, which is checked; else the fold does it.
+    The number of distinct values, which is looked at first, decides how: events are never shuffled for up to BROADCAST_VALUES of them.
     """
     seen = first_seen(log, column)
-    n = seen.limit(LOW_CARDINALITY + 1).count()
-    if n > LOW_CARDINALITY:
+    n = seen.limit(BROADCAST_VALUES + 1).count()
+    if n > BROADCAST_VALUES:
         return _folded(log, column, name)
+    if n > LOW_CARDINALITY:
+        return _by_dimension(log, column, name)
     rows = sorted((str(r["value"]), r["first_seq"]) for r in seen.collect())
     v = F.col(column).cast("string")
     code = F.lit(0)
@@ -54,6 +58,53 @@ def with_arrival_code(log: DataFrame, column: str, name: str) -> DataFrame:
     return log.withColumn(name, F.when(v.isNotNull(), code).otherwise(-1))
 
 
+class Seen:
+    """Values with the event that each was first seen at; how many less than a value had been seen by an event, for many at once.
+
+    The values' ranks, in the order of first sight, are kept as a wavelet matrix: a count of zeros before each place for every bit.
+    """
+
+    def __init__(self, values: list[str], firsts: list[int]):
+        order = np.argsort(np.array(firsts, np.int64), kind="stable")
+        self.index = pd.Index(sorted(values))
+        self.firsts = np.array(firsts, np.int64)[order]
+        ranks = self.index.get_indexer(values)[order]
+        self.levels = []
+        for bit in range(max(1, int(len(values)).bit_length()) - 1, -1, -1):
+            one = (ranks >> bit) & 1 == 1
+            self.levels.append((bit, np.append(0, np.cumsum(~one))))
+            ranks = np.concatenate([ranks[~one], ranks[one]])
+
+    def less(self, seq: np.ndarray, values: pd.Series) -> np.ndarray:
+        rank = self.index.get_indexer(values)
+        low, high = np.zeros(len(rank), np.int64), np.searchsorted(self.firsts, seq, "right")
+        out = np.zeros(len(rank), np.int64)
+        for bit, zeros in self.levels:
+            one = (rank >> bit) & 1 == 1
+            a, b = zeros[low], zeros[high]
+            out += np.where(one, b - a, 0)
+            low, high = np.where(one, zeros[-1] + low - a, a), np.where(one, zeros[-1] + high - b, b)
+        return np.where(rank < 0, -1, out)
+
+
+_seen: dict[str, Seen] = {}
+
+
+def _by_dimension(log: DataFrame, column: str, name: str) -> DataFrame:
+    """The values, a checked number, are broadcast, and each worker process counts its batches against them."""
+    rows = first_seen(log, column).select(F.col("value").cast("string").alias("value"), "first_seq").collect()
+    shared, key = log.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])), uuid.uuid4().hex
+
+    @F.pandas_udf("int")
+    def code(seq: pd.Series, value: pd.Series) -> pd.Series:
+        if key not in _seen:
+            _seen.clear()
+            _seen[key] = Seen(*shared.value)
+        return pd.Series(_seen[key].less(seq.to_numpy(), value))
+
+    return log.withColumn(name, code(F.col("seq"), F.col(column).cast("string")))
+
+
 class _Ranks:
     """A sorted list of the values seen."""
 
@@ -68,7 +119,7 @@ class _Ranks:
 
 
 def _folded(log: DataFrame, column: str, name: str) -> DataFrame:
-    """For many values: a sorted list grows event by event, in one task for a column, on (seq, value) alone; the task holds the values, not the events."""
+    """For more values than are broadcast: a sorted list grows event by event, in one task for a column, on (seq, value) alone; the task holds the values, not the events."""
 
     def step(state: _Ranks, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"seq": pdf["seq"], "code": [state.add(v) for v in pdf["value"]]})

@@ -208,8 +208,8 @@ def label_codes_arrival(spark, d):
 
 @query
 def label_codes_fold(spark, d):
-    """The fold for columns of many values, over cases."""
-    log = encoding._folded(_seq(spark, d), "CaseID", "code")
+    """Codes of a column of many values, the cases, as they are when the values are broadcast."""
+    log = encoding._by_dimension(_seq(spark, d), "CaseID", "code")
     return log.select("EventID", F.col("code").cast("long").alias("code"))
 
 
