@@ -120,7 +120,7 @@ def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(17), text).alias("g2"))
     slim = written(slim.withColumn("row", F.monotonically_increasing_id()).withColumn("first", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")), "sizes")
     n = slim.count()
-    salts = max(1, math.isqrt(n))
+    salts = max(1, 4 * math.isqrt(n))
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     state = propagate(slim.groupBy("g1", "g2", F.col("first").alias("shard")).agg(F.count("*").alias("n")), quota)
     until = Window.partitionBy("g1", "g2").orderBy("shard")  # a row for each shard at most
