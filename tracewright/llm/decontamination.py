@@ -342,11 +342,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return _decontaminated_by_join(docs, benchmark, remove, window)
     shared, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
+    at, numbered = docs.columns.index("text"), _numbered(docs)
+
     def run(batches):
         block = _block(key, shared.value, window)
         for batch in batches:
-            at = batch.schema.names.index("text")
-            for texts in textops.chunks(batch.column("text")):
+            for texts in textops.chunks(batch.column(at)):
                 first, hit, _ = scan(texts, block)
                 total = np.zeros(len(hit) + 1, np.int64)
                 np.cumsum(hit, out=total[1:])
@@ -356,11 +357,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                 if remove == "documents":
                     part = part.filter(pa.array(~bad))
                 elif bad.any():
-                    text = [_without(texts, i, first, hit) if bad[i] else x for i, x in enumerate(part.column("text").to_pylist())]
+                    text = [_without(texts, i, first, hit) if bad[i] else x for i, x in enumerate(part.column(at).to_pylist())]
                     part = part.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by number: mapInArrow takes no names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def _decontaminated_by_join(docs: DataFrame, benchmark: DataFrame, remove: str, window: int) -> DataFrame:
@@ -369,11 +375,10 @@ def _decontaminated_by_join(docs: DataFrame, benchmark: DataFrame, remove: str,
     same = (F.xxhash64("text") == F.col("__bench_1")) & (F.xxhash64(F.lit(17), "text") == F.col("__bench_2"))
     if remove == "documents":
         return docs.join(bad, same, "left_anti")
-    hits = docs.join(bad, same, "left").drop("__bench_1", "__bench_2")
+    at, hits = docs.columns.index("text"), _numbered(docs.join(bad, same, "left").drop("__bench_1", "__bench_2"))
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.names.index("text")
             own = pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)], schema=pa.schema(list(batch.schema)[:-1]))
             if batch.column(batch.num_columns - 1).null_count < batch.num_rows:
                 spans, text = batch.column(batch.num_columns - 1).to_pylist(), own.column(at).to_pylist()
@@ -388,4 +393,4 @@ def _decontaminated_by_join(docs: DataFrame, benchmark: DataFrame, remove: str,
                 own = own.set_column(at, own.schema.field(at), pa.array(text, own.schema.field(at).type))
             yield own
 
-    return hits.mapInArrow(run, T.StructType(docs.schema.fields))
+    return hits.mapInArrow(run, T.StructType(hits.schema.fields[:-1])).toDF(*docs.columns)

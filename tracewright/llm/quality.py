@@ -134,5 +134,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """docs, in their own columns, without those that judge() doesn't keep."""
-    own = docs.select(F.struct(*docs.columns).alias("__doc"), "text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
     return _verdict(own, _table(docs, labels, buckets, orders), threshold, buckets, orders).where("kept").select("__doc.*")
