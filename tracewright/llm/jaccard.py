@@ -9,9 +9,11 @@ Sets that share many shingles share a path in a run with good odds, and runs
 are repeated until the target recall at the threshold is reached.
 
 Nodes that few sets share are brute-forced: pairs whose sketches look alike
-become candidate links.  Nodes that more sets share are split again, at most to
-the last level, where all sets of a node are linked to one of them unseen, so
-that no large node is cut off.  Components of candidate links then hold every
+become candidate links.  In a node that more sets share, one of them, drawn for
+the node, is the pivot.  Sets that look alike to it are linked to it; those that
+look very like it are done with in that node, since what they resemble resembles
+the pivot too; the others are split again, at most to the last level, where all
+sets of a large node are linked to its pivot unseen, so that none is cut off.  Components of candidate links then hold every
 pair that can matter, and all pairs of a component are compared exactly on the
 shingles, block against block, so that links inside a component are found
 whatever paths found it.  Blocks hold sets of like size, and only blocks are
@@ -49,15 +51,18 @@ THRESHOLD = 0.8
 SKETCH = 48
 #: The chance for each position of a sketch to be sampled is 1 / (BRANCH * SKETCH).
 BRANCH = 0.7
-#: Trees that grow from each node of many sets, so that a pair isn't lost by one unlucky split.
-REGROWN = 2
-#: Levels of the first trees, and of the further splits of nodes with many sets.
-LEVELS = (3, 5, 8)
+#: The same below the first trees' last level, where sets share many nodes already: a pair at the threshold shares one child of a node.
+BRANCH_BELOW = 0.8
+#: Levels of the first trees, and of the further split of nodes with many sets.
+LEVELS = (3, 5)
 #: Sets of a node that is brute-forced.
 SMALL = 48
 RECALL = 0.999
 #: Pairs with a lower share of equal sketch values aren't candidates: over five standard deviations below the threshold.
 ALIKE = 0.5
+#: A set with as large a share of a pivot's sketch values needs no further split: what is at the threshold with it is at 0.65 or more
+#: with the pivot, two standard errors above ALIKE, and a pair shares several nodes, each with a pivot of its own.
+SETTLED = 0.85
 #: Sets in a block of the exact comparison.
 BLOCK = 512
 #: Sizes of a block's sets are within this ratio, where a component has several blocks.
@@ -67,19 +72,24 @@ SEEDS = textops.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E37
 FACTORS = textops.mix(SEEDS) | np.uint64(1)
 
 
+def _lost(similar: float, levels: int, below: int) -> float:
+    """The chance that a pair of similar sketches shares no node after so many levels of the first trees and of those below."""
+    lost = 0.0
+    for branch, n in ((BRANCH_BELOW, below), (BRANCH, levels)):
+        for _ in range(n):  # a Poisson number of shared children for each shared node
+            lost = math.exp(-(similar / branch) * (1 - lost))
+    return lost
+
+
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS) -> int:
-    """Runs after which a pair at the threshold has shared a last node with probability recall, two standard errors of the sketch below it.
+    """Runs after which a pair at the threshold has shared a node with probability recall.
 
-    The worst case counts: all nodes that the pair shares have many sets, down to the last level.
+    A node of the first trees, if its sketch is two standard errors below the threshold; and a node of the last level, if
+    all nodes that the pair shares have many sets, down to there.
     """
-    similar = threshold - 2 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    lost = 0.0  # the chance that a shared node leads to no shared node of the last level
-    for turn in range(len(levels) - 1, -1, -1):
-        for _ in range(levels[turn] - (levels[turn - 1] if turn else 0)):  # a Poisson number of shared children for each shared node
-            lost = math.exp(-(similar / BRANCH) * (1 - lost))
-        if turn:
-            lost **= REGROWN
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    low = threshold - 2 * math.sqrt(threshold * (1 - threshold) / SKETCH)
+    worst = max(_lost(low, levels[0], 0), _lost(threshold, levels[0], levels[-1] - levels[0]))
+    return math.ceil(math.log(1 - recall) / math.log(worst))
 
 
 def fingerprints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +123,9 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, sketch binary")
 
 
-def _grow(sketch: np.ndarray, rows: np.ndarray, path: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def _grow(sketch: np.ndarray, rows: np.ndarray, path: np.ndarray, levels: int, branch: float) -> tuple[np.ndarray, np.ndarray]:
     """Splits nodes levels times: (rows, path) of the sets in the nodes reached."""
-    chance = np.uint64(int(2**64 / (BRANCH * SKETCH)))
+    chance = np.uint64(int(2**64 / (branch * SKETCH)))
     for _ in range(levels):
         out_rows, out_path = [], []
         for k in range(SKETCH):
@@ -135,12 +145,13 @@ def _paths(levels: int, runs: int):
                 continue
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH).astype(np.uint64)
             if "path" in batch.schema.names:
-                rows = np.tile(np.arange(len(sketch)), REGROWN)
-                path = np.concatenate([textops.mix(batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64) + SEEDS[k]) for k in range(REGROWN)])
+                branch = BRANCH_BELOW
+                rows, path = np.arange(len(sketch)), batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
             else:
+                branch = BRANCH
                 rows = np.tile(np.arange(len(sketch)), runs)
                 path = np.repeat(textops.mix(np.arange(1, runs + 1, dtype=np.uint64)), len(sketch))
-            rows, path = _grow(sketch, rows, path, levels)
+            rows, path = _grow(sketch, rows, path, levels, branch)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(path.view(np.int64))], ["id", "path"])
 
     return run
@@ -163,29 +174,45 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
+def _against_pivots(batches):
+    """Sets of large nodes beside their pivots to (id, path, pivot, alike, settled)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
+        share = (own == other).mean(1)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), batch.column("pivot"), pa.array(share >= ALIKE), pa.array(share >= SETTLED)], ["id", "path", "pivot", "alike", "settled"])
+
+
 def candidate_links(sets: DataFrame, recall: float = RECALL, tables: list[DataFrame] | None = None) -> DataFrame:
     """Links (u, v) whose components hold all pairs of sets that some run brings together.  sets: a table of id and sketch; tables: takes the tables that the links are made of."""
     tables = [] if tables is None else tables
     links = None
-    todo, runs = sets.select("id", "sketch"), runs_for(recall)
+    sketches_of = sets.select("id", "sketch")
+    todo, runs = sketches_of, runs_for(recall)
     for turn, level in enumerate(LEVELS):
         steps = level - (LEVELS[turn - 1] if turn else 0)
         reached = written(todo.mapInArrow(_paths(steps, runs), "id long, path long"), f"paths-{turn}")
-        nodes = written(reached.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), f"nodes-{turn}")
+        pivot = F.min(F.struct(F.xxhash64("id", "path").alias("draw"), "id"))["id"]
+        nodes = written(reached.groupBy("path").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1"), f"nodes-{turn}")
         tables += [reached, nodes]
         small = reached.join(nodes.where(F.col("n") <= SMALL).select("path"), "path").groupBy("path").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-        small = small.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id")).join(sets.select("id", "sketch"), "id")
+        small = small.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id")).join(sketches_of, "id")
         small = small.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("sketch").alias("sketches")).select("ids", "sketches")
         found = small.mapInArrow(_pairs, "u long, v long")
         links = found if links is None else links.unionByName(found)
-        large = nodes.where(F.col("n") > SMALL)
+        large = nodes.where(F.col("n") > SMALL).select("path", "pivot")
         if not large.head(1):
             break
-        many = reached.join(large.select("path", "least"), "path")
+        many = reached.join(large, "path")
         if turn == len(LEVELS) - 1:
-            links = links.unionByName(many.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v")))
+            links = links.unionByName(many.where("id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
             break
-        todo = many.select("id", "path").join(sets.select("id", "sketch"), "id")
+        beside = many.join(sketches_of, "id").join(sketches_of.select(F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        judged = written(beside.select("id", "path", "pivot", "sketch", "pivot_sketch").mapInArrow(_against_pivots, "id long, path long, pivot long, alike boolean, settled boolean"), f"pivots-{turn}")
+        tables.append(judged)
+        links = links.unionByName(judged.where("alike and id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
+        todo = judged.where("not settled").select("id", "path").join(sketches_of, "id")
     return links.distinct()
 
 
