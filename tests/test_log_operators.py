@@ -74,6 +74,21 @@ def test_weights_over_many_blocks_equal_the_recurrence(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_literal_weights_over_many_blocks_equal_the_recurrence(spark):
+    """Counters up to 900 times tau, whose exponential no double holds, and gaps of both signs."""
+    log = log_of(spark, [(f"{i:04d}", "c", "AAB"[i % 3] if i < 300 else "AB"[i % 5 > 0], i, f"u{i % 7}") for i in range(1500)])
+    got = [r["weight"] for r in scoring.ewma_weight_literal(scoring.resource_rarity(log), "rarity", Decay(tau=1.0)).orderBy("EventID").collect()]
+    seen, uses, w, before, want = {}, {}, 1.0, 1, []
+    for r in log.orderBy("EventID").collect():
+        c = seen[r["Activity"]] = seen.get(r["Activity"], 0) + 1
+        k = uses[r["Activity"], r["Resource"]] = uses.get((r["Activity"], r["Resource"]), 0) + 1
+        d = math.exp(-(c - before))
+        w, before = w * d + 1 / k * (1 - d), c
+        want.append(w)
+    assert max(seen.values()) > 750 and max(map(abs, want)) > 1e9
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
 def test_codes(spark):
     log = context.sequenced(log_of(spark, [(str(i), "c", a, i, "u") for i, a in enumerate("MAMZ")]))
     got = encoding.with_arrival_code(log, "Activity", "code").orderBy("seq").collect()

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Decay, Scoring
 from ..sources.logs import LOG, LogSchema
-from .context import case_order, numbered
+from .context import case_order, numbered, sequenced
 from .encoding import with_arrival_code
+from .folds import fold
 
 
 def resource_rarity(log: DataFrame, s: LogSchema = LOG, weight: float = 1.0) -> DataFrame:
@@ -70,20 +73,33 @@ def ewma_weight(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema
 def ewma_weight_literal(log: DataFrame, score: str, decay: Decay = Decay(), s: LogSchema = LOG) -> DataFrame:
     """The same when one counter of last use serves all activities, so that gaps may be negative and d over 1.
 
-    Gaps telescope over the whole log, so that the weight is a running sum in its order, in two levels: the hours before and the rows of an hour.
-    The sums grow with exp(counter / tau), as the literal weights themselves do: use it to reproduce small logs.
+    Gaps telescope over the whole log, so that the weight is a running sum in its order: with E(c) = exp((c - top) / tau), w = (w0 * E(c0) + sum of
+    score * (1 - d) * E(c)) / E(c), where w0 and c0 are those of the row before the block.  The sums are taken in blocks of the order, each relative to the
+    highest counter that it meets, so that nothing overflows however long the log is; blocks are then chained by a fold over one row each.  Weights that
+    a double can't hold, where counters of two activities are over 700 * tau apart, are not reproduced.
     """
-    rows = numbered(log, [s.activity], "__c", s).withColumns({"__c": F.col("__c").cast("double"), "__hour": F.date_trunc("hour", s.time)})
-    within = Window.partitionBy("__hour").orderBy(s.time, s.event)
-    earlier = Window.orderBy("__h")  # a row for each hour
-    last = rows.groupBy(F.col("__hour").alias("__h")).agg(F.max_by("__c", F.struct(s.time, s.event)).alias("c")).withColumn("__before", F.lag("c").over(earlier)).drop("c")
-    rows = rows.withColumn("__lag", F.lag("__c").over(within)).join(last, F.col("__hour") == F.col("__h")).drop("__h")
-    d = F.exp(-(F.col("__c") - F.coalesce("__lag", "__before", "__c")) / decay.tau)
-    rows = rows.withColumn("__part", F.col(score) * (1 - d) * F.exp(F.col("__c") / decay.tau))
-    sums = rows.groupBy(F.col("__hour").alias("__h")).agg(F.sum("__part").alias("t")).withColumn("__from", F.coalesce(F.sum("t").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("t")
-    rows = rows.withColumn("__sum", F.sum("__part").over(within)).join(sums, F.col("__hour") == F.col("__h"))
-    # the first event's counter is 1
-    weight = F.exp(-F.col("__c") / decay.tau) * (math.exp(1 / decay.tau) + F.col("__from") + F.col("__sum"))
+    span = max(1, int(100 * decay.tau))  # rows of a block, in which a counter grows by as much at most
+    rows = sequenced(numbered(log, [s.activity], "__c", s), s).withColumns({"__c": F.col("__c").cast("double"), "__block": F.floor((F.col("seq") - 1) / span)})
+    in_block = Window.partitionBy("__block").orderBy("seq")
+    earlier = Window.orderBy("__b")  # a row for each block
+    ends = rows.groupBy(F.col("__block").alias("__b")).agg(F.max_by("__c", "seq").alias("__last"), F.max("__c").alias("__top"))
+    # the first event, whose counter is 1, only sets the weight: its gap is 0
+    ends = ends.withColumn("__from", F.coalesce(F.lag("__last").over(earlier), F.lit(1.0))).withColumn("__top", F.greatest("__top", "__from"))
+    rows = rows.withColumn("__lag", F.lag("__c").over(in_block)).join(ends, F.col("__block") == F.col("__b")).drop("__b")
+    d = F.exp(-(F.col("__c") - F.coalesce("__lag", "__from")) / decay.tau)
+    rows = rows.withColumn("__part", F.col(score) * (1 - d) * F.exp((F.col("__c") - F.col("__top")) / decay.tau))
+    sums = rows.groupBy("__block").agg(F.sum("__part").alias("__sum"), *[F.first(c).alias(c) for c in ("__from", "__last", "__top")]).withColumn("__log", F.lit(0))
+
+    def chain(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for total, c0, c, top in zip(pdf["__sum"], pdf["__from"], pdf["__last"], pdf["__top"]):
+            out.append(state["w"] * np.exp((c0 - top) / decay.tau))
+            state["w"] = (out[-1] + total) * np.exp((top - c) / decay.tau)
+        return pd.DataFrame({"__b": pdf["__block"], "__start": out})
+
+    starts = fold(sums, "__log", "__block", lambda _: {"w": 1.0}, chain, "__b long, __start double")
+    rows = rows.withColumn("__sum", F.sum("__part").over(in_block)).join(starts, F.col("__block") == F.col("__b"))
+    weight = F.exp((F.col("__top") - F.col("__c")) / decay.tau) * (F.col("__start") + F.col("__sum"))
     return rows.withColumn("weight", weight).select(*[c for c in log.columns if c != "weight"], "weight")
 
 
