@@ -133,6 +133,15 @@ def test_minmax_and_zscore(spark):
     assert column(z, "z")[0] == pytest.approx([-math.sqrt(1.5), 0, math.sqrt(1.5)]) and column(z, "z")[1] == [0, 0]
 
 
+def test_zscore_of_long_vectors(spark):
+    """Work in proportion to the length: 4,000 slots by their cube would take hours."""
+    x = np.random.default_rng(3).normal(5, 2, 4000)
+    out = values(spark, [x.tolist(), [1.0, None, 3.0], None], "array<double>").withColumn("z", V.zscore("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    z = column(out, "z")
+    assert z[0] == pytest.approx(((x - x.mean()) / x.std()).tolist(), abs=1e-9) and z[1] == [0, 0, 0] and z[2] is None
+
+
 def test_similarity_values(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0, 0.0], [0.0, 1.0, 1.0]), (1, [1.0, 0.0], [0.0, 1.0, 1.0]), (2, [0.3, 1.0, 0.0], [0.3, 1.0, 0.0])], "i int, a array<double>, b array<double>")
     assert column(df.withColumn("s", V.similarity("a", "b", 0.15)), "s") == pytest.approx([0.2, 0.0, 1.0])

@@ -18,9 +18,11 @@ def minmax(v: str) -> Column:
 
 def zscore(v: str) -> Column:
     """A vector less its mean, by its population deviation; zeros if that is 0."""
-    mean = f"(aggregate({v}, 0D, (__s, __x) -> __s + __x) / size({v}))"
-    sd = f"sqrt(aggregate({v}, 0D, (__s, __x) -> __s + (__x - {mean}) * (__x - {mean})) / size({v}))"
-    return F.expr(f"if({sd} > 0, transform({v}, __x -> (__x - {mean}) / {sd}), transform({v}, __x -> 0D))")
+    mean = f"aggregate({v}, 0D, (__s, __x) -> __s + __x) / size({v})"
+    sd = f"sqrt(aggregate({v}, 0D, (__s, __x) -> __s + (__x - __m) * (__x - __m)) / size({v}))"
+    scaled = f"if(__d > 0, transform({v}, __x -> (__x - __m) / __d), transform({v}, __x -> 0D))"
+    # arrays of one element bind the mean and the deviation, which are else computed again for every slot
+    return F.expr(f"transform(array({mean}), __m -> transform(array({sd}), __d -> {scaled})[0])[0]")
 
 
 def distance(a: Column | str, b: Column | str) -> Column:
