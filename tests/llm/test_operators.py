@@ -810,6 +810,23 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
+def test_components_of_a_dense_group(spark, monkeypatch):
+    """Joins take links in proportion to nodes, not to the links that are given; chunks of any size give the same."""
+    r = random.Random(12)
+    edges = [(k, r.randrange(k)) for k in range(1, 500) for _ in range(40)] + [(1000 + k, r.randrange(1000, 1000 + k)) for k in range(1, 300) for _ in range(40)]
+    r.shuffle(edges)
+    links = spark.createDataFrame(edges + [(7, 7), (None, 8), (2000, 3000)], "u long, v long").repartition(5)
+    want = {k: 0 for k in range(500)} | {1000 + k: 1000 for k in range(300)} | {2000: 2000, 3000: 2000}
+    large, taken = components._large, []
+    monkeypatch.setattr(components, "_large", lambda e, hubs: (taken.append(e.count()), large(e, hubs))[1])
+    assert dict(components.components(links).collect()) == want
+    assert taken and max(taken) < len(want)
+    taken.clear()
+    assert dict(components.components(links, 5000).collect()) == want
+    assert max(taken) < 8 * len(want)
+    assert components.components(links.where("u = v")).collect() == []
+
+
 def test_columns_of_any_name(spark):
     """Further columns with the names of helpers, odd names among them: operators give what they give without, and carry them along."""
     r = random.Random(31)
